@@ -9,7 +9,9 @@ that no expectation changes, until one of them has a whole copy or none. A
 source's total words stay as they are in every pair.
 
 Pairs are made inside groups of about ``GROUP`` documents of one source,
-largest documents first; each group leaves at most one fraction, and the
+largest documents first; a document of over ``HEAVY`` times the mean size is
+paired with all smaller ones of its group taken together, or its fraction would
+outlast them. Each group leaves at most one fraction, and the
 fractions meet in groups of ``FAN`` groups, level by level, until one is left
 per source, which is rounded to the nearer side. So a hot source is many
 tasks, and a level's input shrinks ``GROUP``- or ``FAN``-fold. Random draws are
@@ -24,6 +26,7 @@ nothing; repeated rows have one result each; other columns are ignored.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, table, word_count
 
-WEIGHTS, MOST, GROUP, FAN, EPS, RUN = (5, 2, 1), 3, 4096, 64, 1e-9, 65536
+WEIGHTS, MOST, GROUP, FAN, HEAVY, EPS, RUN = (5, 2, 1), 3, 4096, 64, 4, 1e-9, 65536
 _ROW = "source string, doc_id bigint, size bigint, m bigint, source_size bigint, target double, whole bigint, frac double, part bigint"
 
 
@@ -52,6 +55,26 @@ def draw(doc_id, size: int, level: int) -> float:
     return (xxhash.xxh64_intdigest(f"{doc_id}:{size}:{level}", 6) + 0.5) / 2.0**64
 
 
+def settle_heavy(sizes: list[int], fracs: list[float], draws: list[float]) -> None:
+    """In place, for sizes in descending order: pair each heavy document with all smaller ones, whose fractions move alike."""
+    s, f = np.array(sizes, np.float64), np.array(fracs)
+    most = HEAVY * s.mean() if len(s) else 0
+    for i in range(len(s) - 1):
+        if s[i] <= most:
+            break
+        mass, room = float(s[i + 1 :] @ f[i + 1 :]), float(s[i + 1 :] @ (1 - f[i + 1 :]))
+        up, down = min(s[i] * (1 - f[i]), mass), min(s[i] * f[i], room)
+        if up + down <= EPS:
+            continue
+        if draws[i] * (up + down) < down:
+            f[i] += up / s[i]
+            f[i + 1 :] *= 1 - up / mass if mass > EPS else 1
+        else:
+            f[i] -= down / s[i]
+            f[i + 1 :] = 1 - (1 - f[i + 1 :]) * (1 - down / room if room > EPS else 1)
+    fracs[:] = f.tolist()
+
+
 def pivot(sizes: list[int], fracs: list[float], draws: list[float]) -> None:
     """Round ``fracs`` in place, in the given order; at most one stays between 0 and 1."""
     held = None
@@ -80,7 +103,9 @@ def _rounded(level: int, last: bool):
         draws = [draw(d, s, level) for d, s in zip(ids, sizes, strict=True)]
         order = sorted(range(len(ids)), key=lambda i: (-sizes[i], draws[i]))
         some = [fracs[i] for i in order]
-        pivot([sizes[i] for i in order], some, [draws[i] for i in order])
+        ranked = [sizes[i] for i in order], some, [draws[i] for i in order]
+        settle_heavy(*ranked)
+        pivot(*ranked)
         for i, f in zip(order, some, strict=True):
             fracs[i] = float(f > 0.5) if last else f
         return rows.set_column(rows.schema.get_field_index("frac"), "frac", pa.array(fracs, pa.float64()))
