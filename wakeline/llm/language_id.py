@@ -6,7 +6,8 @@ over the words with a penalty for every switch labels spans of one language.
 The document's language is the one with most letters.
 
 Trigram counts come from at most ``TRAIN`` labelled documents of each language
-(those with the smallest hash of their id) and of at most ``MOST_LANGS``
+(those with the smallest hash of their id, sought among the lowest hashes that
+hold twice as many) and of at most ``MOST_LANGS``
 languages, so the model is at most ``MOST_LANGS`` x ``CELLS`` counts.
 
 Where no stretch of another language gains more than half a penalty over the
@@ -179,8 +180,11 @@ def fitted(docs: DataFrame, use: Column, train: int = TRAIN) -> Model:
     """A model from the rows of ``docs`` (doc_id, text, lang) where ``use`` holds and lang is known."""
     spark, kinds = docs.sparkSession, letters()
     known = docs.where(use & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= train).select("lang", "doc_id")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 12).cast("double") / float(1 << 52)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    ahead = known.select("lang", "doc_id", place.alias("place")).join(sizes, "lang").where(F.col("place") * F.col("n") <= 2 * train + 100)
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = ahead.withColumn("k", F.row_number().over(order)).where(F.col("k") <= train).select("lang", "doc_id")
     counts = chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS + 1).collect()
     if len(counts) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
