@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,10 +82,12 @@ class Model:
         self.idf, self.axes, self.vectors, self.labels = idf, axes, vectors, labels
 
     @staticmethod
-    def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * idf
+    def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Counts made weights, in place."""
+        np.log1p(x, out=x)
+        x *= idf
         for part, weight in ((x[:, :WORDS], 1.0), (x[:, WORDS:], SHAPE_WEIGHT)):
-            part *= weight / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
+            part *= weight / np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part)), 1e-9)[:, None]
         return x
 
     @classmethod
@@ -99,18 +102,17 @@ class Model:
             y = x @ (x.T @ np.linalg.qr(y)[0])
         q = np.linalg.qr(y)[0]
         axes = np.ascontiguousarray(np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T.astype(np.float32))
-        out = cls(idf, axes, None, labels.astype(np.float32))
-        out.vectors = np.ascontiguousarray(out.latent(counts).T)
-        return out
+        return cls(idf, axes, np.ascontiguousarray(cls.unit(x @ axes).T), labels.astype(np.float32))
 
-    def latent(self, counts: np.ndarray) -> np.ndarray:
-        v = self.weighted(counts, self.idf) @ self.axes
+    @staticmethod
+    def unit(v: np.ndarray) -> np.ndarray:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def score(self, counts: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
+        """Scores of texts by their counts, which are used up."""
         if not len(self.labels):
             return np.full(len(counts), 0.5)
-        cosine = self.latent(counts) @ self.vectors
+        cosine = self.unit(self.weighted(counts, self.idf) @ self.axes) @ self.vectors
         k = min(k, len(self.labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-6).astype(np.float64) ** 2
@@ -139,11 +141,11 @@ def fitted(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "q
     ids = F.broadcast(spark.createDataFrame([(i,) for i in value], "doc_id bigint"))
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(ids, "doc_id")
     made = texts.mapInArrow(_sparse, "doc_id bigint, at array<int>, n array<float>")
-    rows = sorted(made.groupBy("doc_id").agg(F.min(F.struct("at", "n")).alias("f")).collect(), key=lambda r: r.doc_id)
+    rows = made.groupBy("doc_id").agg(F.min(F.struct("at", "n")).alias("f")).select("doc_id", "f.at", "f.n").toArrow().sort_by("doc_id")
+    sizes = pc.list_value_length(rows["at"]).to_numpy()
     counts = np.zeros((len(rows), WORDS + SHAPES), np.float32)
-    for k, r in enumerate(rows):
-        counts[k, r.f["at"]] = r.f["n"]
-    return Model.fit(counts, np.array([value[r.doc_id] for r in rows]))
+    counts[np.repeat(np.arange(len(rows)), sizes), pc.list_flatten(rows["at"]).to_numpy()] = pc.list_flatten(rows["n"]).to_numpy()
+    return Model.fit(counts, np.array([value[i] for i in rows["doc_id"].to_pylist()]))
 
 
 def scored_batches(sent, text: str = "text", least: float | None = None):
