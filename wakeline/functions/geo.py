@@ -12,7 +12,8 @@ EARTH_KM, EARTH_M, KM_PER_DEGREE = 6371.0088, 6371000.0, 111.0
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     p1, p2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    # least() would take 1 for an unknown h.
+    return F.when((lat1 + lon1 + lat2 + lon2).isNotNull(), 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h))))
 
 
 def degrees_apart(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -16,7 +16,7 @@ FLOOR, RESERVED = 1e-300, 0.05
 def transition(seconds: Column, km: Column) -> Column:
     """Signed seconds and kilometres to a probability: 0 backwards in time, 1 where either is unknown."""
     p = F.exp(-2.0 * seconds / SECONDS - 2.0 * km / KM)
-    return F.coalesce(F.when(seconds < 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))), F.lit(1.0))
+    return F.when(seconds < 0, 0.0).when((seconds + km).isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
 
 
 def match(seconds: Column, km: Column) -> Column:

@@ -22,15 +22,15 @@ def dark_by_hash(vessels: DataFrame, share: float = DARK_SHARE) -> DataFrame:
     return vessels.select("mmsi").distinct().withColumn("dark", u % 1000 < int(1000 * share))
 
 
-def _frame(universe: DataFrame, positives: DataFrame, negatives: DataFrame) -> DataFrame:
+def _frame(universe: DataFrame, labelled: DataFrame) -> DataFrame:
     """Ranking summaries of both classes, detections without candidates, and accept_score.
 
-    universe: (model, RF key) of all detections that should be rejected.
+    labelled: candidates with label, 1 to accept and 0 to reject; universe:
+    (model, RF key) of all detections to reject.
     """
-    pos = rank.summary(positives).withColumns({"label": F.lit(1), "rejection_type": F.lit("positive")})
-    neg = rank.summary(negatives).withColumns({"label": F.lit(0), "rejection_type": F.lit("scored_rejection")})
-    none = universe.join(neg.select(*rank.KEYS), rank.KEYS, "left_anti").withColumns({"candidate_count": F.lit(0).cast("bigint"), "label": F.lit(0), "rejection_type": F.lit("automatic_rejection")})
-    all_ = pos.unionByName(neg).unionByName(none, allowMissingColumns=True)
+    some = rank.summary(labelled, [*rank.KEYS, "label"]).withColumn("rejection_type", F.when(F.col("label") == 1, "positive").otherwise("scored_rejection"))
+    none = universe.join(labelled.where("label = 0").select(*rank.KEYS), rank.KEYS, "left_anti").withColumns({"candidate_count": F.lit(0).cast("bigint"), "label": F.lit(0), "rejection_type": F.lit("automatic_rejection")})
+    all_ = some.unionByName(none, allowMissingColumns=True)
     floor = F.coalesce(F.min("top1_oriented").over(Window.partitionBy("model")) - 1, F.lit(-1.0))
     return all_.withColumn("accept_score", F.coalesce("top1_oriented", floor))
 
@@ -39,15 +39,14 @@ def dark_vessel_frame(scores: DataFrame, split: DataFrame) -> DataFrame:
     """Registry candidates only: detections of registry vessels are positives, those of dark ones negatives."""
     s = scores.join(split.withColumnRenamed("dark", "_dark"), "mmsi")
     s = s.join(split.select(F.col("mmsi").alias("rf_mmsi"), F.col("dark").alias("_rf_dark")), "rf_mmsi")
-    registry = s.where("not _dark")
     universe = s.where("_rf_dark").select(*rank.KEYS).distinct()
-    return _frame(universe, registry.where("not _rf_dark"), registry.where("_rf_dark"))
+    return _frame(universe, s.where("not _dark").withColumn("label", F.when(F.col("_rf_dark"), 0).otherwise(1)))
 
 
 def leave_one_out_frame(scores: DataFrame, detections: DataFrame) -> DataFrame:
     """Positives: all candidates. Negatives: the same without the true track, whose scores need no second run."""
     universe = detections.select(*RF).join(scores.select("model").distinct())
-    return _frame(universe, scores, scores.where("not is_true_match"))
+    return _frame(universe, scores.withColumn("label", F.explode(F.when(F.col("is_true_match"), F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(0))))))
 
 
 def rejections(frame: DataFrame) -> DataFrame:

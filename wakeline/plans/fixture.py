@@ -47,11 +47,11 @@ def detections(spark: SparkSession, sf_dir: str, points: DataFrame, divisor: int
 
 # The same in SQL. Literals have exponents: plain ones would be decimals.
 def hav(a: str, b: str, c: str, d: str) -> str:
-    return f"2 * 6371.0088e0 * asin(sqrt(least(1e0, pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - ({b})) / 2), 2))))"
+    return f"CASE WHEN {a} + {b} + {c} + {d} IS NOT NULL THEN 2 * 6371.0088e0 * asin(sqrt(least(1e0, pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - ({b})) / 2), 2)))) END"
 
 
 def transition(dt: str, km: str) -> str:
-    return f"coalesce(CASE WHEN {dt} < 0 THEN 0e0 ELSE least(1e0, greatest(0e0, exp(-2e0 * ({dt}) / 551e0 - 2e0 * ({km}) / 7e0))) END, 1e0)"
+    return f"CASE WHEN {dt} < 0 THEN 0e0 WHEN ({dt}) + ({km}) IS NULL THEN 1e0 ELSE least(1e0, greatest(0e0, exp(-2e0 * ({dt}) / 551e0 - 2e0 * ({km}) / 7e0))) END"
 
 
 def match(dt: str, km: str) -> str:
