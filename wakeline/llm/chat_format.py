@@ -51,31 +51,49 @@ def _unrole(role: Column) -> Column:
 
 
 def prefixed(turns: DataFrame, cut: int = CUT) -> DataFrame:
-    """turns (conv_id, turn, role, text) with tokens and ``before``, the tokens of the conversation ahead of the turn."""
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    """turns (conv_id, turn, role, text) with ``key`` (conv_id without nulls), tokens, ``before`` (tokens ahead of the turn) and ``lead`` (the conversation's system turn, if it opens it).
+
+    Texts are shuffled once, by conversation and cut; what the cuts' totals
+    add is joined in place.
+    """
+    t = turns.select(F.coalesce("conv_id", F.lit(-(1 << 63))).alias("key"), "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("tokens", F.floor((F.length("text") + 3) / 4).cast("bigint") + 4).withColumn("cut", F.coalesce(F.floor(F.col("turn") / cut), F.lit(-(1 << 62))))
-    ahead = Window.partitionBy("conv_id").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    totals = t.groupBy("conv_id", "cut").agg(F.sum("tokens").alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    inside = Window.partitionBy("conv_id", "cut").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("key").orderBy("cut")
+    system = F.when(F.col("role") == "system", F.col("text"))
+    totals = t.groupBy("key", "cut").agg(F.sum("tokens").alias("n"), F.min(F.struct("turn", "role", system.alias("system"))).alias("opens"))
+    totals = totals.select("key", "cut", F.coalesce(F.sum("n").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"), F.first("opens.system").over(ahead).alias("lead"))
+    inside = Window.partitionBy("key", "cut").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("inner", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-    same = F.col("t.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("t.cut") == F.col("c.cut"))
-    return t.alias("t").join(totals.alias("c"), same).select("t.conv_id", "t.turn", "t.role", "t.text", "t.tokens", (F.col("inner") + F.col("shift")).alias("before"))
+    return t.join(totals, ["key", "cut"]).withColumn("before", F.col("inner") + F.col("shift")).drop("inner", "shift")
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, text, own_from (character where the window's own turns begin) and loss (from, to) in characters."""
+    """conv_id, window, text, own_from (character where the window's own turns begin) and loss (from, to) in characters.
+
+    A turn offers itself to its own window and, where the next one may begin
+    close enough, to that one too; the first turn of a window in its cut
+    brings the system turn along. The window then keeps what belongs to it.
+    """
     t = prefixed(turns).withColumn("window", F.floor(F.col("before") / budget))
-    line = F.concat(F.lit(BEGIN), _role(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit(END))
-    t = t.select("conv_id", "window", "before", (F.col("role") == "assistant").alias("target"), ((F.col("role") == "system") & (F.col("before") == 0)).alias("lead"), line.alias("line"), F.length(escaped(F.col("text"))).alias("size"))
-    spans = t.groupBy("conv_id", "window").agg(F.min("before").alias("begin"))
-    own = t.select("conv_id", "window", F.lit(2).alias("part"), "before", "target", "line", "size")
-    next_ = F.col("t.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("t.window") + 1 == F.col("s.window"))
-    past = t.where(~F.col("lead")).alias("t").join(spans.alias("s"), next_).where(F.col("begin") - F.col("before") <= history)
-    past = past.select("t.conv_id", "s.window", F.lit(1).alias("part"), "t.before", F.lit(False).alias("target"), "t.line", "t.size")
-    lead = t.where("lead").alias("t").join(spans.where("window > 0").alias("s"), F.col("t.conv_id").eqNullSafe(F.col("s.conv_id")))
-    lead = lead.select("t.conv_id", "s.window", F.lit(0).alias("part"), "t.before", F.lit(False).alias("target"), "t.line", "t.size")
-    rows = own.unionByName(past).unionByName(lead)
-    w = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(F.struct("part", "before", "target", "line", "size"))).alias("ts"))
+    written = lambda role, text: F.concat(F.lit(BEGIN), _role(role), F.lit("\n"), escaped(text), F.lit(END))
+    opening = F.coalesce(F.lag("window").over(Window.partitionBy("key", "cut").orderBy("turn", "role", "text")) != F.col("window"), F.lit(True))
+    t = t.withColumn("opening", opening & F.col("lead").isNotNull() & (F.col("window") > 0))
+    own_line, size = written(F.col("role"), F.col("text")), F.length(escaped(F.col("text")))
+    part = lambda window, k, before, target, line, size: F.struct(window.alias("window"), F.lit(k).alias("part"), before.alias("before"), target.alias("target"), line.alias("line"), size.alias("size"))
+    no, zero = F.lit(False), F.lit(0).cast("bigint")
+    next_ = F.col("window") + 1
+    is_lead = F.col("lead").isNotNull() & (F.col("before") == 0)
+    offers = F.array(
+        part(F.col("window"), 2, F.col("before"), F.col("role") == "assistant", F.col("line"), F.col("size")),
+        F.when(~is_lead & (next_ * budget - F.col("before") <= history), part(next_, 1, F.col("before"), no, F.col("line"), F.col("size"))),
+        F.when(F.col("opening"), part(F.col("window"), 0, zero, no, written(F.lit("system"), F.col("lead")), F.lit(0))),
+    )
+    t = t.withColumns({"line": own_line, "size": size})
+    rows = t.select("key", "conv_id", F.explode(F.filter(offers, lambda x: x.isNotNull())).alias("o")).select("key", "conv_id", "o.*")
+    w = rows.groupBy("key", "conv_id", "window").agg(F.array_sort(F.collect_list(F.struct("part", "before", "target", "line", "size"))).alias("ts"))
+    begin = F.array_min(F.transform(F.filter("ts", lambda x: x["part"] == 2), lambda x: x["before"]))
+    w = w.withColumn("begin", begin).where("begin is not null")
+    w = w.withColumn("ts", F.filter("ts", lambda x, i: F.when(x["part"] == 0, i == 0).when(x["part"] == 1, F.col("begin") - x["before"] <= history).otherwise(True)))
     width = F.transform("ts", lambda x: F.length(x["line"]).cast("bigint"))
     w = w.withColumn("ends", F.aggregate(width, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint"))))))
     marked = F.transform("ts", lambda x, i: F.struct(x["target"].alias("on"), (F.col("ends")[i] - len(END) - x["size"]).alias("from"), (F.col("ends")[i] - len(END)).alias("to")))
