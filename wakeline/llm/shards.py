@@ -9,7 +9,8 @@ them. Assigning is a projection: no shuffle.
 Slots number a shard's records from 0 without gaps, in an order of their
 content. Equal rows are counted before the shuffle, shards are cut into
 ``CUTS`` parts by a hash of the key, parts are numbered by themselves and
-shifted by the totals of the parts before them; no task holds a whole shard.
+shifted by the totals of the parts before them; no task holds a whole shard. The
+counted rows, without texts, are written once, so texts are read once.
 
 Defined results: a null key is the empty text and all such records share a
 shard; equal weights tie towards the smaller shard; repeated rows have one slot
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keep, table
 
 SHARDS, CUTS, RUN = 8, 256, 65536
 
@@ -50,7 +51,7 @@ def slotted(rows: DataFrame, cuts: int = CUTS) -> DataFrame:
     """Rows (doc_id and others, shard) with slot, gapless from 0 in each shard."""
     names = rows.columns
     cut = F.pmod(F.xxhash64("doc_id"), F.lit(cuts)).cast("int")
-    counted = rows.groupBy(*names).agg(F.count("*").alias("_m")).withColumn("_cut", cut)
+    counted = keep(rows.groupBy(*names).agg(F.count("*").alias("_m")).withColumn("_cut", cut), "slots")
     inside = Window.partitionBy("shard", "_cut").orderBy(*names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counted.withColumn("_end", F.sum("_m").over(inside))
     totals = counted.groupBy("shard", "_cut").agg(F.sum("_m").alias("_all"))
