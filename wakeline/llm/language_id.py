@@ -180,23 +180,24 @@ def fitted(docs: DataFrame, use: Column, train: int = TRAIN) -> Model:
     """A model from the rows of ``docs`` (doc_id, text, lang) where ``use`` holds and lang is known."""
     spark, kinds = docs.sparkSession, letters()
     known = docs.where(use & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 12).cast("double") / float(1 << 52)
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    ahead = known.select("lang", "doc_id", place.alias("place")).join(sizes, "lang").where(F.col("place") * F.col("n") <= 2 * train + 100)
-    order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    chosen = ahead.withColumn("k", F.row_number().over(order)).where(F.col("k") <= train).select("lang", "doc_id")
-    counts = chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS + 1).collect()
-    if len(counts) > MOST_LANGS:
+    sizes = [tuple(r) for r in known.groupBy("lang").count().limit(MOST_LANGS + 1).collect()]
+    if len(sizes) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
-    langs = sorted(r.lang for r in counts)
+    langs = sorted(x for x, _ in sizes)
     total = np.zeros((len(langs), CELLS + len(SCRIPTS) + 2))
     if langs:
-        ids = F.broadcast(spark.createDataFrame([(r.doc_id,) for r in chosen.select("doc_id").distinct().collect()], "doc_id bigint"))
+        place = F.shiftrightunsigned(F.xxhash64("doc_id"), 12).cast("double") / float(1 << 52)
+        counted = F.broadcast(spark.createDataFrame(sizes, "lang string, n bigint"))
+        ahead = known.select("lang", "doc_id", place.alias("place")).join(counted, "lang").where(F.col("place") * F.col("n") <= 2 * train + 100)
+        order = Window.partitionBy("lang").orderBy("place", "doc_id")
+        chosen = ahead.withColumn("k", F.row_number().over(order)).where(F.col("k") <= train).select("doc_id").distinct()
+        ids = F.broadcast(spark.createDataFrame(chosen.collect(), "doc_id bigint"))
         texts = known.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi").select("lang", "text")
         made = texts.mapInArrow(_counted(langs, Sent(spark, kinds)), "lang int, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
         for r in made.collect():
             total[r.lang, r.cell] = r.n
-    return Model(langs, total[:, :CELLS], total[:, CELLS:], kinds)
+    seen = total.any(axis=1)
+    return Model([x for x, s in zip(langs, seen, strict=True) if s], total[seen, :CELLS], total[seen, CELLS:], kinds)
 
 
 def _labelled(sent):
