@@ -56,22 +56,20 @@ def draw(doc_id, size: int, level: int) -> float:
 
 
 def settle_heavy(sizes: list[int], fracs: list[float], draws: list[float]) -> None:
-    """In place, for sizes in descending order: pair each heavy document with all smaller ones, whose fractions move alike."""
+    """In place, for sizes in descending order: pair each heavy document with all smaller ones, which give or take in proportion to the room they have both ways."""
     s, f = np.array(sizes, np.float64), np.array(fracs)
     most = HEAVY * s.mean() if len(s) else 0
     for i in range(len(s) - 1):
         if s[i] <= most:
             break
-        mass, room = float(s[i + 1 :] @ f[i + 1 :]), float(s[i + 1 :] @ (1 - f[i + 1 :]))
-        up, down = min(s[i] * (1 - f[i]), mass), min(s[i] * f[i], room)
+        step = np.minimum(f[i + 1 :], 1 - f[i + 1 :])
+        most_moved = float(s[i + 1 :] @ step)
+        up, down = min(s[i] * (1 - f[i]), most_moved), min(s[i] * f[i], most_moved)
         if up + down <= EPS:
             continue
-        if draws[i] * (up + down) < down:
-            f[i] += up / s[i]
-            f[i + 1 :] *= 1 - up / mass if mass > EPS else 1
-        else:
-            f[i] -= down / s[i]
-            f[i + 1 :] = 1 - (1 - f[i + 1 :]) * (1 - down / room if room > EPS else 1)
+        moved = up if draws[i] * (up + down) < down else -down
+        f[i] += moved / s[i]
+        f[i + 1 :] -= step * (moved / most_moved)
     fracs[:] = f.tolist()
 
 
