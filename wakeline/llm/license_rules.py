@@ -21,7 +21,9 @@ BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 LICENSES = [
     ("apache-2.0", "apache", "apache [software] license [version/v/v2] 2/v2 [0]", "apache 2 0"),
     ("apache-1.1", "apache", "apache [software] license [version] 1 1", "apache 1 1"),
-    ("mit", "mit", "mit/expat/x11 license", "mit"),
+    ("mit", "mit", "mit license", "mit"),
+    ("mit", "expat", "expat license", ""),
+    ("mit", "x11", "x11 license", ""),
     ("mit-0", "mit", "mit no attribution [license]", "mit 0"),
     ("bsd-2-clause", "bsd", "bsd 2/two clause [simplified] [license]", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "bsd 3/three clause [new/revised] [license]", "bsd 3 clause"),
@@ -117,7 +119,7 @@ SIGNATURES = [
     ("text", "bsl-1.0", "boost", "distributed under the boost software license"),
     ("text", "cc0-1.0", "waived", "has waived all copyright and related or neighboring rights"),
     ("text", "cc0-1.0", "dedicated", "has dedicated the work to the public domain"),
-    ("text", "artistic", "artistic", "under the same terms as perl itself"),
+    ("text", "artistic", "perl", "under the same terms as perl itself"),
     ("text", "ofl-1.1", "font", "this font software is licensed under the sil open font license"),
     ("text", "ofl-1.1", "reserved", "with reserved font name"),
     ("text", "gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts"),
@@ -191,10 +193,10 @@ SIGNATURES = [
     ("name", "gpl", "gpl", "gplv2/gplv3/gpl2/gpl3 [or] [later]"),
     ("name", "lgpl", "lgpl", "lgplv2/lgplv3/lgpl2/lgpl3"),
     ("name", "agpl", "agpl", "agplv3/agpl3"),
-    ("hint", "license-file", "license", "see [the] license/copying file [for] [details/more]"),
+    ("hint", "license-file", "file", "see [the] license/copying file [for] [details/more]"),
     ("hint", "license-file", "license", "see license [txt/md] [for] [details]"),
     ("hint", "license-terms", "terms", "under the terms of the/this license"),
-    ("hint", "license-terms", "terms", "subject to the following terms/conditions"),
+    ("hint", "license-terms", "following", "subject to the following terms/conditions"),
     ("hint", "copyright", "copyright", "copyright [c] 19*/20* [*]"),
     ("hint", "copyright", "copyright", "copyright holder/holders/owner/notice"),
     ("hint", "copyright", "copyrighted", "copyrighted material/work/content"),
