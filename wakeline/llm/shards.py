@@ -50,7 +50,7 @@ def assigned(docs: DataFrame, key: str = "doc_id", weights: list[float] | None =
 def slotted(rows: DataFrame, cuts: int = CUTS) -> DataFrame:
     """Rows (doc_id and others, shard) with slot, gapless from 0 in each shard."""
     names = rows.columns
-    cut = F.pmod(F.xxhash64("doc_id"), F.lit(cuts)).cast("int")
+    cut = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint") % cuts).cast("int")
     counted = keep(rows.groupBy(*names).agg(F.count("*").alias("_m")).withColumn("_cut", cut), "slots")
     inside = Window.partitionBy("shard", "_cut").orderBy(*names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counted.withColumn("_end", F.sum("_m").over(inside))
@@ -71,5 +71,23 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_shards": op5_shards}
-_BIDS = ", ".join(f"-ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{j}'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)" for j in range(SHARDS + 1))
-SQL: dict[str, str] = {}
+_HEAD = "CAST('0x' || substr(md5({}), 1, {}) AS BIGINT)"
+_KEY = "coalesce(CAST(doc_id AS VARCHAR), '')"
+
+
+def _least(n: int) -> str:
+    """SQL of the shard of smallest bid among n of equal weight."""
+    bids = ", ".join(f"-ln(({_HEAD.format(f"{_KEY} || ':{j}'", 13)} + 0.5e0) / 4503599627370496e0)" for j in range(n))
+    return f"(list_position([{bids}], list_min([{bids}])) - 1)"
+
+
+SQL = {
+    # CRC-32 byte by byte, with a table that the query makes from the polynomial.
+    "op5_shards": f"""
+WITH steps AS (SELECT i, list_reduce([i]::BIGINT[] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(0, 256) r(i)),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM steps),
+d AS (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h, CAST({_least(SHARDS)} AS INTEGER) AS shard, CAST({_least(SHARDS + 1)} AS INTEGER) AS grown_shard, {_HEAD.format(_KEY, 8)} % {CUTS} AS cut FROM documents),
+b AS (SELECT *, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS bytes FROM d),
+r AS (SELECT *, CAST(len(bytes) + 1 AS BIGINT) AS size, CAST(xor(list_reduce([4294967295]::BIGINT[] || bytes, lambda a, x: xor(a >> 8, tab[CAST((xor(a, x) & 255) + 1 AS BIGINT)])), 4294967295) AS BIGINT) AS text_crc32 FROM b, tab)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY cut, doc_id, size, text_crc32, grown_shard) - 1 AS BIGINT) AS slot, grown_shard FROM r""",
+}
