@@ -139,11 +139,11 @@ SUMMARY = (
 SUMMARY2 = ("summary", "SELECT *, coalesce(1e0 / rank_of_true, 0e0) AS reciprocal_rank, coalesce(rank_of_true <= 1, false) AS hit_1, coalesce(rank_of_true <= 3, false) AS hit_3, coalesce(rank_of_true <= 5, false) AS hit_5 FROM summaries")
 
 
-def ranking_sql(body: str, *more: tuple[str, str], models: dict[str, str] = NN) -> str:
+def ranking_sql(body: str, *more: tuple[str, str], models: dict[str, str] = NN, kappa: tuple[float, float] = score_phmm.KAPPA) -> str:
     shared = [LEGS, ONLEG, BYPOINT, BYLEG]
     wide = "SELECT b.*, l.nn_segment, l.nn_time_weighted FROM bypoint b JOIN byleg l USING (" + _PAIR + ")"
     if len(models) > len(NN):
-        shared += phmm_ctes()
+        shared += phmm_ctes(*kappa)
         wide = f"SELECT b.*, l.nn_segment, l.nn_time_weighted, p.forward_score / p.n_points AS normalized_forward_score, round(p.forward_score - p.null_forward_score, 6) AS log_odds_score FROM bypoint b JOIN byleg l USING ({_PAIR}) JOIN phmm p USING ({_PAIR})"
     return with_ctes(body, *shared, ("wide", wide), _long_cte(models, "wide"), RANKED, SUMMARY, SUMMARY2, *more, divisor=FINE, km=KM, window=WINDOW)
 
@@ -161,6 +161,7 @@ def track_speed(spark, d):
 
 @query("WITH n AS (SELECT user_id AS mmsi, count(*) AS n_reports FROM events WHERE event_type = 'purchase' GROUP BY ALL) SELECT * FROM n WHERE n_reports > 5")
 def short_tracks_removed(spark, d):
+    """Over one type of report: every vessel has more than five reports of all types together."""
     r = fixture.reports(spark, d).where("vessel_type = 'purchase'")
     return prep.remove_short_tracks(r).groupBy("mmsi").agg(F.count("*").alias("n_reports"))
 
@@ -618,10 +619,9 @@ def histogram_bins(spark, d):
     return s.groupBy(F.floor(F.col("time_diff") / 50).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query(with_ctes("SELECT mmsi, track_id, round(avg(lat), 6) AS center_lat, round(avg(lon), 6) AS center_lon, count(*) AS n_points FROM tracks WHERE mmsi < 10 GROUP BY ALL"))
+@query(with_ctes("SELECT mmsi, track_id, round(avg(lat), 6) AS center_lat, round(avg(lon), 6) AS center_lon, count(*) AS n_points FROM tracks GROUP BY ALL"))
 def map_layer(spark, d):
-    p = traffic(spark, d)[0].where("mmsi < 10")
-    return rounded(p.groupBy(*TRACK).agg(F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon"), F.count("*").alias("n_points")))
+    return rounded(traffic(spark, d)[0].groupBy(*TRACK).agg(F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon"), F.count("*").alias("n_points")))
 
 
 @query()
@@ -630,8 +630,17 @@ def simulated_training_data(spark, d):
     return s.select(*TRACK, "t", "state", F.col("ais.lat").alias("ais_lat"), F.col("ais.lon").alias("ais_lon"), F.col("rf.lat").alias("rf_lat"), F.col("rf.lon").alias("rf_lon"))
 
 
-@query(ranking_sql("SELECT 'ka=0.5 kr=2' AS kappa, s.alpha, s.precision FROM (SELECT alpha, precision FROM searched ORDER BY precision DESC, alpha LIMIT 1) s", _SIZES, _GRIDDED, _SEARCH, models=MODELS))
+KAPPAS = {"ka=0.5 kr=2": (0.5, 2.0), "ka=1 kr=1": (1.0, 1.0)}
+_TUNED = [ranking_sql(f"SELECT '{name}' AS kappa, alpha, precision FROM searched ORDER BY precision DESC, alpha LIMIT 1", _SIZES, _GRIDDED, _SEARCH, models=MODELS, kappa=k) for name, k in KAPPAS.items()]
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({x})" for x in _TUNED))
 def kappa_sensitivity(spark, d):
-    """The tuned alpha for the standard kappa; other kappas are the same call with another pair of exponents."""
-    best = evaluate.best_alpha(evaluate.alpha_search(_log_odds(spark, d), sizes(spark, d)))
-    return best.select(F.lit("ka=0.5 kr=2").alias("kappa"), "alpha", "precision")
+    """The tuned alpha and its precision for log-odds scores of each kappa."""
+    points, _, pairs = pairs_of(spark, d, FINE)
+    out = None
+    for name, kappa in KAPPAS.items():
+        long = rank.long_scores(pairs.join(score_phmm.scores(pairs, points, kappa).drop("n_points"), PAIR), {"log_odds_score": "max"})
+        best = evaluate.best_alpha(evaluate.alpha_search(long, sizes(spark, d))).select(F.lit(name).alias("kappa"), "alpha", "precision")
+        out = best if out is None else out.unionByName(best)
+    return out
