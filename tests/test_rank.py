@@ -58,6 +58,24 @@ def test_areas_with_ties_and_rejections(spark):
     assert r.auc == pytest.approx(auc) and r.ap == pytest.approx(ap)
 
 
+def test_cumulative_counts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(m, int(rng.integers(0, 2)), float(rng.integers(0, 60)) if m == "a" else 1.0) for m in "ab" for _ in range(150)]
+    got = {(r.model, r.accept_score): (r.tp, r.fp, r.all_p, r.all_q) for r in openset._steps(spark.createDataFrame(rows, "model string, label int, accept_score double")).collect()}
+    assert got == {(m, s): tuple(sum(1 for a, l, v in rows if a == m and l == want and v >= low) for low in (s, -1.0) for want in (1, 0)) for m, _, s in rows}
+
+
+def test_cumulative_counts_of_no_rows(spark):
+    assert openset._steps(spark.createDataFrame([], "model string, label int, accept_score double")).count() == 0
+
+
+def test_alpha_picks_go_to_the_lower_track_on_ties(spark):
+    sizes = spark.createDataFrame([(3, 0, 10), (4, 0, 10)], "mmsi bigint, track_id int, n_points bigint")
+    for mmsi, hit in ((3, 1.0), (4, 0.0)):
+        s = long(spark, [(1, 3, mmsi == 3, -30.0), (1, 4, mmsi == 4, -30.0)])
+        assert {r.precision for r in evaluate.alpha_search(s, sizes).collect()} == {hit}
+
+
 def test_dark_frame_covers_the_universe(spark):
     s = long(spark, [(1, 1, True, 5.0), (1, 2, False, 1.0), (2, 2, True, 4.0), (2, 1, False, 3.0), (3, 3, True, 9.0)])
     split = spark.createDataFrame([(1, False), (2, True), (3, True)], "mmsi bigint, dark boolean")

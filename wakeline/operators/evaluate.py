@@ -43,10 +43,19 @@ def corrected(scores: DataFrame, sizes: DataFrame, alpha) -> DataFrame:
 
 
 def alpha_search(scores: DataFrame, sizes: DataFrame, alphas: list[float] = ALPHAS) -> DataFrame:
-    """Precision of each alpha, four decimals, in one pass: (model, alpha, precision)."""
-    grid = scores.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
-    best = rank.chosen(corrected(grid, sizes, F.col("alpha")), [*rank.KEYS, "alpha"]).where("chosen")
-    return best.groupBy("model", "alpha").agg(F.round(F.avg(F.col("is_true_match").cast("double")), 4).alias("precision"))
+    """Precision of each alpha, four decimals, in one pass: (model, alpha, precision).
+
+    Each alpha is one aggregate of a detection's candidates, so neither rows
+    nor the shuffle grow with the grid.
+    """
+    sized = scores.join(sizes.select(*TRACK, F.col("n_points").alias("_n")), TRACK, "left").select(*rank.KEYS, *TRACK, "is_true_match", "oriented", "_n")
+    value = lambda a: F.round(F.col("oriented") / F.pow(F.col("_n"), F.lit(a)), 9)
+    tops = [F.max(F.struct(value(a).alias("v"), *((-F.col(c)).alias(c) for c in TRACK), "is_true_match")).alias(f"_{k}") for k, a in enumerate(alphas)]
+    best = sized.repartition(*rank.KEYS).groupBy(*rank.KEYS).agg(*tops)
+    hits = best.select("model", *(F.col(f"_{k}.is_true_match").cast("double").alias(f"_{k}") for k in range(len(alphas))))
+    shares = hits.groupBy("model").agg(*(F.avg(f"_{k}").alias(f"_{k}") for k in range(len(alphas))))
+    each = F.inline(F.array(*(F.struct(F.lit(a).alias("alpha"), F.round(f"_{k}", 4).alias("precision")) for k, a in enumerate(alphas))))
+    return shares.select("model", each)
 
 
 def best_alpha(searched: DataFrame) -> DataFrame:

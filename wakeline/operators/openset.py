@@ -31,8 +31,9 @@ def _frame(universe: DataFrame, labelled: DataFrame) -> DataFrame:
     some = rank.summary(labelled, [*rank.KEYS, "label"]).withColumn("rejection_type", F.when(F.col("label") == 1, "positive").otherwise("scored_rejection"))
     none = universe.join(labelled.where("label = 0").select(*rank.KEYS), rank.KEYS, "left_anti").withColumns({"candidate_count": F.lit(0).cast("bigint"), "label": F.lit(0), "rejection_type": F.lit("automatic_rejection")})
     all_ = some.unionByName(none, allowMissingColumns=True)
-    floor = F.coalesce(F.min("top1_oriented").over(Window.partitionBy("model")) - 1, F.lit(-1.0))
-    return all_.withColumn("accept_score", F.coalesce("top1_oriented", floor))
+    best = labelled.groupBy(*rank.KEYS, "label").agg(F.max("oriented").alias("_best"))
+    floor = best.groupBy("model").agg((F.min("_best") - 1).alias("_floor"))
+    return all_.join(F.broadcast(floor), "model", "left").withColumn("accept_score", F.coalesce("top1_oriented", "_floor", F.lit(-1.0))).drop("_floor")
 
 
 def dark_vessel_frame(scores: DataFrame, split: DataFrame) -> DataFrame:
