@@ -58,11 +58,15 @@ def test_areas_with_ties_and_rejections(spark):
     assert r.auc == pytest.approx(auc) and r.ap == pytest.approx(ap)
 
 
-def test_cumulative_counts(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_cumulative_counts(spark, coalesce):
+    """In one range and in several."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
     rng = np.random.default_rng(5)
     rows = [(m, int(rng.integers(0, 2)), float(rng.integers(0, 60)) if m == "a" else 1.0) for m in "ab" for _ in range(150)]
     got = {(r.model, r.accept_score): (r.tp, r.fp, r.all_p, r.all_q) for r in openset._steps(spark.createDataFrame(rows, "model string, label int, accept_score double")).collect()}
     assert got == {(m, s): tuple(sum(1 for a, l, v in rows if a == m and l == want and v >= low) for low in (s, -1.0) for want in (1, 0)) for m, _, s in rows}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_cumulative_counts_of_no_rows(spark):

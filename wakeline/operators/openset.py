@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wakeline.operators import evaluate, rank
 from wakeline.schema import RF
+from wakeline.sources.stage import written
 
 DARK_SHARE, SEED = 0.2, 100
 
@@ -26,13 +27,13 @@ def _frame(universe: DataFrame, labelled: DataFrame) -> DataFrame:
     """Ranking summaries of both classes, detections without candidates, and accept_score.
 
     labelled: candidates with label, 1 to accept and 0 to reject; universe:
-    (model, RF key) of all detections to reject.
+    (model, RF key) of all detections to reject. The summaries are written once,
+    as the lowest accept_score takes a second pass over them.
     """
-    some = rank.summary(labelled, [*rank.KEYS, "label"]).withColumn("rejection_type", F.when(F.col("label") == 1, "positive").otherwise("scored_rejection"))
-    none = universe.join(labelled.where("label = 0").select(*rank.KEYS), rank.KEYS, "left_anti").withColumns({"candidate_count": F.lit(0).cast("bigint"), "label": F.lit(0), "rejection_type": F.lit("automatic_rejection")})
+    some = written(rank.summary(labelled, [*rank.KEYS, "label"]), "summaries").withColumn("rejection_type", F.when(F.col("label") == 1, "positive").otherwise("scored_rejection"))
+    none = universe.join(some.where("label = 0").select(*rank.KEYS), rank.KEYS, "left_anti").withColumns({"candidate_count": F.lit(0).cast("bigint"), "label": F.lit(0), "rejection_type": F.lit("automatic_rejection")})
     all_ = some.unionByName(none, allowMissingColumns=True)
-    best = labelled.groupBy(*rank.KEYS, "label").agg(F.max("oriented").alias("_best"))
-    floor = best.groupBy("model").agg((F.min("_best") - 1).alias("_floor"))
+    floor = some.groupBy("model").agg((F.min("top1_oriented") - 1).alias("_floor"))
     return all_.join(F.broadcast(floor), "model", "left").withColumn("accept_score", F.coalesce("top1_oriented", "_floor", F.lit(-1.0))).drop("_floor")
 
 
@@ -57,11 +58,21 @@ def rejections(frame: DataFrame) -> DataFrame:
 
 
 def _steps(frame: DataFrame) -> DataFrame:
-    """Cumulative counts of both classes by model and distinct score, best scores first."""
+    """Cumulative counts of both classes by model and distinct score, best scores first.
+
+    Prefix sums in two levels: the distinct scores are cut into ranges by the range
+    partitioner and written; each range takes its own running sums, on top of the
+    totals of the ranges before it, of which there are as many as partitions and models.
+    """
     at = frame.groupBy("model", "accept_score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
-    order = Window.partitionBy("model").orderBy(F.desc("accept_score")).rowsBetween(Window.unboundedPreceding, 0)
+    cut = written(at.repartitionByRange("model", F.desc("accept_score")).withColumn("_cut", F.spark_partition_id()), "scores")
     whole = Window.partitionBy("model")
-    return at.withColumns({"tp": F.sum("p").over(order), "fp": F.sum("q").over(order), "all_p": F.sum("p").over(whole), "all_q": F.sum("q").over(whole)})
+    before = whole.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("model", "_cut").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    totals = totals.select("model", "_cut", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c + "0") for c in ("_p", "_q")), F.sum("_p").over(whole).alias("all_p"), F.sum("_q").over(whole).alias("all_q"))
+    within = Window.partitionBy("model", "_cut").orderBy(F.desc("accept_score")).rowsBetween(Window.unboundedPreceding, 0)
+    run = cut.withColumns({"tp": F.sum("p").over(within), "fp": F.sum("q").over(within)}).join(F.broadcast(totals), ["model", "_cut"])
+    return run.withColumns({"tp": F.col("tp") + F.col("_p0"), "fp": F.col("fp") + F.col("_q0")}).drop("_cut", "_p0", "_q0")
 
 
 def roc_points(frame: DataFrame) -> DataFrame:

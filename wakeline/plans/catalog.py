@@ -475,6 +475,12 @@ def shared_population(spark, d):
     return evaluate.shared_population(scored(spark, d)).agg(F.countDistinct("model").alias("n_models"), F.count("*").alias("n_rows"))
 
 
+@query("SELECT event_type AS model, round(sum(value), 6) AS seconds, CAST(sum(event_id % 7 + 1) AS BIGINT) AS pairs, round(sum(value) / sum(event_id % 7 + 1), 9) AS seconds_per_pair FROM events GROUP BY event_type")
+def runtime_per_pair(spark, d):
+    stages = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("model"), F.col("value").alias("seconds"), (F.col("event_id") % 7 + 1).alias("pairs"))
+    return rounded(evaluate.runtime(stages), seconds_per_pair=9)
+
+
 # Open set.
 _DARK = ("dark", "SELECT mmsi, CAST('0x' || substr(md5(CAST(mmsi AS VARCHAR)), 1, 8) AS BIGINT) % 1000 < 200 AS dark FROM (SELECT DISTINCT mmsi FROM tracks)")
 _FRAME = [
@@ -528,9 +534,13 @@ def roc_auc(spark, d):
     return rounded(openset.areas(_dark_frame(spark, d)))
 
 
-@query(ranking_sql("SELECT model, round(avg((rejection_type = 'automatic_rejection')::INT), 6) AS automatic_rejection_rate FROM frame WHERE label = 0 GROUP BY model", _DARK, *_FRAME))
+_TALLY = "SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER (PARTITION BY model) AS all_p, sum(q) OVER (PARTITION BY model) AS all_q FROM (SELECT model, accept_score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS q FROM frame WHERE rejection_type <> 'automatic_rejection' GROUP BY ALL) WINDOW w AS (PARTITION BY model ORDER BY accept_score DESC)"
+_AREA = "round(sum(q * (tp - p / 2)) / (max(all_p) * max(all_q)), 6) AS auc{0}, round(sum(p * tp / (tp + fp)) / max(all_p), 6) AS ap{0}"
+
+
+@query(ranking_sql(f"SELECT * FROM (SELECT model, {_AREA.format('')} FROM tally GROUP BY model) JOIN (SELECT model, {_AREA.format('_scored')} FROM tally_scored GROUP BY model) USING (model) JOIN (SELECT model, round(avg((rejection_type = 'automatic_rejection')::INT), 6) AS automatic_rejection_rate FROM frame WHERE label = 0 GROUP BY model) USING (model)", _DARK, *_FRAME, ("tally_scored", _TALLY)))
 def open_set_report(spark, d):
-    return rounded(openset.report(_dark_frame(spark, d)).select("model", "automatic_rejection_rate"))
+    return rounded(openset.report(_dark_frame(spark, d)))
 
 
 @query(ranking_sql(f"SELECT model, CASE WHEN label = 1 THEN 'positive' WHEN candidate_count = 0 THEN 'automatic_rejection' ELSE 'scored_rejection' END AS rejection_type, count(*) AS n FROM (SELECT model, {_RF}, 1 AS label, count(*) AS candidate_count FROM long GROUP BY ALL UNION ALL SELECT model, {_RF}, 0, count(*) FILTER (NOT is_true_match) FROM long GROUP BY ALL) GROUP BY ALL"))
