@@ -19,7 +19,8 @@ gap -1; score = alignment / (2 * words of the item). A hit needs
 ``MIN_SCORE`` and an alignment worth ``min(MIN_WORDS, words of the item)``
 matches. An item of one or two words is its own only seed.
 
-Defined results: null or blank texts and items have no hits; repeated rows of
+Defined results: null or blank texts and items have no hits; an item without
+an id counts like any other, its hits have a null item_id; repeated rows of
 documents give repeated hits, repeated items one; of several places where an
 item meets one document the best (then first) is reported; other columns are
 ignored.
@@ -62,8 +63,8 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
 class Items:
     """The items of one block: ids, word numbers (from 1; 0 is any other word) and seeds."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        parted = sorted((i, w) for i, w in ((i, words_of(t)) for i, t in rows) if w)
+    def __init__(self, rows: list[tuple[int | None, str]]):
+        parted = sorted(((i, w) for i, w in ((i, words_of(t)) for i, t in rows) if w), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         self.vocabulary = {w: k for k, w in enumerate(sorted({x for _, ws in parted for x in ws}), 1)}
         self.ids = [i for i, _ in parted]
         self.words = [np.array([self.vocabulary[x] for x in w], np.int32) for _, w in parted]
@@ -252,7 +253,7 @@ def blocks(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BYTES):
     n = -(-total // block_bytes)
     for k in range(n):
         rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        items = Items([(r.item_id, r.text) for r in rows if r.item_id is not None])
+        items = Items([(r.item_id, r.text) for r in rows])
         if not items.ids:
             continue
         sent = Sent(spark, items)
