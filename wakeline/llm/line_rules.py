@@ -3,7 +3,9 @@
 Lines are normalised (ASCII lower case, digits as 0, ASCII punctuation as
 space, single spaces), hashed, and counted by the distinct texts of a host
 that hold them; ``source`` stands for the host. A line held by more than
-``LEAST_DOCS`` texts and more than ``SHARE`` of its host's texts is removed. A
+``LEAST_DOCS`` texts of its host is frequent, however large the host; only with
+``share`` given must it also stand in more than that share of them. The query
+gives ``SHARE``, as its SQL has both limits. A
 document that loses more than ``MOST_LOST`` of its words is depleted and goes,
 as does one that fails the base rules (too short, or too many repeated words).
 
@@ -81,15 +83,17 @@ def _measured(batches):
         yield pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
 
-def frequent_lines(made: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
+def frequent_lines(made: DataFrame, least_docs: int = LEAST_DOCS, share: float | None = None) -> DataFrame:
     """(host, h, docs): hashes of lines above the limits."""
     texts = made.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     held = made.select("host", "text_hash", F.explode("lines.h").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > least_docs)
+    if share is None:
+        return held
     both = held.alias("x").join(texts.alias("y"), F.col("x.host").eqNullSafe(F.col("y.host")))
     return both.where(F.col("docs") > share * F.col("texts")).select("x.host", "h", "docs")
 
 
-def judged(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, most_lost: float = MOST_LOST) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float | None = None, most_lost: float = MOST_LOST) -> DataFrame:
     """For each row: doc_id, host, the measures, words lost with removed lines, base_failed, depleted, kept."""
     given = docs.select(F.col("doc_id").cast("bigint"), F.col(host).cast("string").alias("host"), F.col("text").cast("string"))
     made = keep(given.mapInArrow(_measured, _DDL), "measured")
@@ -105,7 +109,7 @@ def judged(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS,
 
 
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents")).select("doc_id", *STATS, "base_failed", "kept", "lost_words")
+    return judged(table(spark, sf_dir, "documents"), share=SHARE).select("doc_id", *STATS, "base_failed", "kept", "lost_words")
 
 
 QUERIES = {"op2_line_rules": op2_line_rules}
