@@ -40,6 +40,17 @@ def signed_hash(raw: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def line_hash(line: bytes) -> int | None:
+    """Hash of the normalised line; None without letters or digits."""
+    plain = b" ".join(line.lower().translate(_PLAIN).split())
+    return signed_hash(plain) if plain else None
+
+
+def without(raw: bytes, gone: set[int]) -> bytes:
+    """A text without the lines of these hashes."""
+    return b"\n".join(line for line in raw.split(b"\n") if line_hash(line) not in gone)
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words that stand in a 5-word window found twice or more."""
     n = len(words) - WINDOW + 1
@@ -68,9 +79,8 @@ def measure(text: str | None) -> tuple:
             continue
         dups += line in seen
         seen.add(line)
-        plain = b" ".join(line.lower().translate(_PLAIN).split())
-        if plain:
-            h = signed_hash(plain)
+        h = line_hash(line)
+        if h is not None:
             lines[h] = lines.get(h, 0) + size
     return signed_hash(raw), len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dups, repeated_words(words), [{"h": h, "w": w} for h, w in lines.items()]
 
@@ -93,21 +103,57 @@ def frequent_lines(made: DataFrame, least_docs: int = LEAST_DOCS, share: float |
     return both.where(F.col("docs") > share * F.col("texts")).select("x.host", "h", "docs")
 
 
-def judged(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float | None = None, most_lost: float = MOST_LOST) -> DataFrame:
-    """For each row: doc_id, host, the measures, words lost with removed lines, base_failed, depleted, kept."""
+def _measures(docs: DataFrame, host: str) -> DataFrame:
     given = docs.select(F.col("doc_id").cast("bigint"), F.col(host).cast("string").alias("host"), F.col("text").cast("string"))
-    made = keep(given.mapInArrow(_measured, _DDL), "measured")
+    return keep(given.mapInArrow(_measured, _DDL), "measured")
+
+
+def _verdicts(made: DataFrame, least_docs: int, share: float | None, most_lost: float) -> DataFrame:
+    """The rows of ``made`` with lost_words, the hashes of removed lines (``gone``) and verdicts."""
     row = ["doc_id", "host", "text_hash"]
     lines = made.select(*row, F.inline("lines")).distinct()
     often = frequent_lines(made, least_docs, share)
     hit = lines.alias("l").join(often.alias("o"), F.col("l.host").eqNullSafe(F.col("o.host")) & (F.col("l.h") == F.col("o.h")))
-    lost = hit.groupBy("l.doc_id", "l.host", "l.text_hash").agg(F.sum("w").alias("lost_words"))
+    lost = hit.groupBy("l.doc_id", "l.host", "l.text_hash").agg(F.sum("w").alias("lost_words"), F.collect_set("l.h").alias("gone"))
     same = [F.col(f"m.{c}").eqNullSafe(F.col(f"k.{c}")) for c in row[:2]] + [F.col("m.text_hash") == F.col("k.text_hash")]
-    out = made.drop("lines").alias("m").join(lost.alias("k"), same, "left").select("m.*", F.coalesce("lost_words", F.lit(0)).alias("lost_words"))
+    out = made.drop("lines").alias("m").join(lost.alias("k"), same, "left").select("m.*", F.coalesce("lost_words", F.lit(0)).alias("lost_words"), "gone")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("depleted", F.col("lost_words") > most_lost * F.col("n_words")).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
+def judged(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float | None = None, most_lost: float = MOST_LOST) -> DataFrame:
+    """For each row: doc_id, host, the measures, words lost with removed lines, base_failed, depleted, kept."""
+    return _verdicts(_measures(docs, host), least_docs, share, most_lost).drop("gone")
+
+
+def _hashed(batches):
+    for b in batches:
+        hashes = [signed_hash(x or b"") for x in raws(b.column("text"))]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hashes, pa.int64())], names=[*b.schema.names, "_text_hash"])
+
+
+def _stripped(batches):
+    for b in batches:
+        texts = [without(x, set(g)) if g else x for x, g in zip(raws(b.column("text")), b.column("_gone").to_pylist(), strict=True)]
+        at = b.schema.get_field_index("text")
+        columns = [pa.array(texts, pa.binary()).cast(pa.string()) if k == at else c for k, c in enumerate(b.columns[:-1])]
+        yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+
+
+def cleaned(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float | None = None, most_lost: float = MOST_LOST) -> DataFrame:
+    """The kept rows of ``docs``, all columns, their texts without frequent lines.
+
+    Verdict and removed lines are those of ``judged``, which depend on host and text only.
+    """
+    verdicts = _verdicts(_measures(docs, host), least_docs, share, most_lost).where("kept")
+    verdicts = verdicts.groupBy("host", "text_hash").agg(F.first("gone").alias("_gone")).withColumnRenamed("host", "_host")
+    hashed = docs.withColumn("text", F.col("text").cast("string"))
+    kind = hashed.schema
+    hashed = hashed.mapInArrow(_hashed, hashed.select("*", F.lit(0).cast("bigint").alias("_text_hash")).schema)
+    same = F.col(host).cast("string").eqNullSafe(F.col("_host")) & (F.col("_text_hash") == F.col("text_hash"))
+    return hashed.join(verdicts, same).select(*docs.columns, "_gone").mapInArrow(_stripped, kind)
+
+
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), share=SHARE).select("doc_id", *STATS, "base_failed", "kept", "lost_words")
 
