@@ -106,7 +106,7 @@ def test_near_dedup(odd, empty):
     assert by[None].component_id == 1 and by[1].component_id == 1
     assert near_dedup.near_duplicates(empty).count() == 0
     kept = sorted(r.doc_id or -1 for r in near_dedup.keep_one(odd).collect())
-    assert kept == [-1, 1, 2, 5, 6, 7] and near_dedup.keep_one(odd).columns == sorted(odd.columns, key=odd.columns.index)
+    assert kept == [1, 2, 5, 6, 7] and near_dedup.keep_one(odd).columns == sorted(odd.columns, key=odd.columns.index)
 
 
 def test_chat(spark):

@@ -144,12 +144,22 @@ def test_votes_are_exact_neighbours():
     got = m.score(counts[200:].copy())
     v = m.unit(m.weighted(counts[200:].copy(), m.idf) @ m.axes)
     for k in range(100):
-        c = v[k] @ m.vectors
-        near = np.argsort(-c)[: quality_classifier.NEIGHBOURS]
-        w = np.maximum(c[near], 1e-6) ** 2
+        c = np.rint(v[k] @ m.vectors * quality_classifier.STEPS)
+        near = np.argsort(-c, kind="stable")[: quality_classifier.NEIGHBOURS]
+        w = np.maximum(c[near], 1)
         assert got[k] == pytest.approx((w * m.labels[near]).sum() / w.sum(), rel=1e-4)
 
 
+def test_first_of_equal_neighbours_vote():
+    rng = np.random.default_rng(14)
+    m = quality_classifier.Model(None, None, None, rng.integers(0, 2, 60).astype(np.float32))
+    steps = rng.integers(-3, 4, (400, 60)).astype(np.int32)
+    for row, got in zip(steps, m.voted(steps), strict=True):
+        near = sorted(range(60), key=lambda i: (-row[i], i))[: quality_classifier.NEIGHBOURS]
+        w = np.maximum(row[near], 1)
+        assert got == pytest.approx((w * m.labels[near]).sum() / w.sum())
+
+
 def test_language_on_held_out_rows(result):
     docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
     r = result("op7_language_id").merge(docs, on="doc_id")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wakeline.sources.stage import files_for, forget, written  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -16,25 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one below the warehouse where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_stages").rstrip("/")
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, with as many files as tasks: for what a scan of texts makes."""
+    return written(df, name)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    It cuts the lineage (a lost executor costs no recomputation of what lies
-    before) and lets several consumers share one pass. The folder goes when
-    the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
-    path = f"{shared_dir(spark)}/wakeline-{sc.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+def keep_narrow(df: DataFrame, name: str) -> DataFrame:
+    """The same with few files, for tables without texts behind a shuffle."""
+    return written(df, name, files_for(df.sparkSession))
+
+
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``row`` (all columns of ``docs`` as one struct) beside key columns, so that no name of the caller can clash with theirs."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(k.alias(n) for n, k in keys.items()))
+
+
+def text_hash(text: str = "text") -> Column:
+    """xxhash64 of the text, a null one taken as empty."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def in_remainder(key: str, modulus: int, remainder: int) -> Column:

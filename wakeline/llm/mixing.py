@@ -9,7 +9,7 @@ that no expectation changes, until one of them has a whole copy or none. A
 source's total words stay as they are in every pair.
 
 Pairs are made inside groups of about ``GROUP`` documents of one source,
-largest documents first; a document of over ``HEAVY`` times the mean size is
+largest documents first; a document of over ``HEAVY`` times its group's mean size is
 paired with all smaller ones of its group taken together, or its fraction would
 outlast them. Each group leaves at most one fraction, and the
 fractions meet in groups of ``FAN`` groups, level by level, until one is left
@@ -17,11 +17,15 @@ per source, which is rounded to the nearer side. So a hot source is many
 tasks, and a level's input shrinks ``GROUP``- or ``FAN``-fold. Random draws are
 hashes of the document id, so reruns agree.
 
-Equal rows are counted first and share their copies evenly (at most one apart).
+Rows equal in source, id and text are counted first and share their copies
+evenly (at most one apart). ``mixed`` counts rows equal in every column before
+it shuffles them, so one row that is repeated without end is one row there; for
+that its columns must be of kinds that Spark can group, so no maps.
 
 Defined results: a null text has size 0, a document of size 0 is rounded by
 itself; a null source is one source and comes last; a source of size 0 takes
-nothing; repeated rows have one result each; other columns are ignored.
+nothing; repeated rows have one result each; rows without an id are told apart
+by their texts; other columns are passed on by ``mixed`` whatever their names.
 """
 
 from __future__ import annotations
@@ -32,10 +36,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, table, word_count
+from .common import keep_narrow, packed, table, text_hash, word_count
 
-WEIGHTS, MOST, GROUP, FAN, HEAVY, EPS, RUN = (5, 2, 1), 3, 4096, 64, 4, 1e-9, 65536
-_ROW = "source string, doc_id bigint, size bigint, m bigint, source_size bigint, target double, whole bigint, frac double, part bigint"
+WEIGHTS, MOST, GROUP, FAN, HEAVY, EPS, RUN = (5, 2, 1), 3, 4096, 64, 1, 1e-9, 65536
+_ROW = "source string, doc_id bigint, size bigint, h bigint, m bigint, source_size bigint, target double, whole bigint, frac double, part bigint"
 
 
 def water_filled(totals: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -51,8 +55,8 @@ def water_filled(totals: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFr
     return t.withColumn("target", F.greatest(F.lit(0.0), F.least("_cap", F.max("_level").over(everything) * F.col("_w")))).drop("_w", "_cap", "_level")
 
 
-def draw(doc_id, size: int, level: int) -> float:
-    return (xxhash.xxh64_intdigest(f"{doc_id}:{size}:{level}", 6) + 0.5) / 2.0**64
+def draw(doc_id, h: int, level: int) -> float:
+    return (xxhash.xxh64_intdigest(f"{doc_id}:{h}:{level}", 6) + 0.5) / 2.0**64
 
 
 def settle_heavy(sizes: list[int], fracs: list[float], draws: list[float]) -> None:
@@ -97,8 +101,8 @@ def pivot(sizes: list[int], fracs: list[float], draws: list[float]) -> None:
 
 def _rounded(level: int, last: bool):
     def run(rows: pa.Table) -> pa.Table:
-        ids, sizes, fracs = (rows.column(c).to_pylist() for c in ("doc_id", "size", "frac"))
-        draws = [draw(d, s, level) for d, s in zip(ids, sizes, strict=True)]
+        ids, sizes, hashes, fracs = (rows.column(c).to_pylist() for c in ("doc_id", "size", "h", "frac"))
+        draws = [draw(d, h, level) for d, h in zip(ids, hashes, strict=True)]
         order = sorted(range(len(ids)), key=lambda i: (-sizes[i], draws[i]))
         some = [fracs[i] for i in order]
         ranked = [sizes[i] for i in order], some, [draws[i] for i in order]
@@ -112,24 +116,24 @@ def _rounded(level: int, last: bool):
 
 
 def copies(docs: DataFrame, size: Column, group: int = GROUP, fan: int = FAN) -> DataFrame:
-    """(source, doc_id, size, m, source_size, target, copies): the copies that the m equal rows take together."""
-    given = docs.select(F.col("source").cast("string"), F.col("doc_id").cast("bigint"), size.cast("bigint").alias("size"))
-    units = keep(given.groupBy("source", "doc_id", "size").agg(F.count("*").alias("m")), "units")
+    """(source, doc_id, size, h, m, source_size, target, copies): the copies that the m rows equal in source, id and text (hash h) take together."""
+    given = docs.select(F.col("source").cast("string"), F.col("doc_id").cast("bigint"), size.cast("bigint").alias("size"), text_hash().alias("h"))
+    units = keep_narrow(given.groupBy("source", "doc_id", "size", "h").agg(F.count("*").alias("m")), "units")
     totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n"))
-    targets = keep(water_filled(totals), "targets").withColumnRenamed("source", "s")
+    targets = keep_narrow(water_filled(totals), "targets").withColumnRenamed("source", "s")
     groups = max(1, -(-(targets.agg(F.max("n")).first()[0] or 0) // group))
 
     mass = F.when(F.col("source_size") > 0, F.col("m") * F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = units.join(targets, F.col("source").eqNullSafe(F.col("s"))).withColumn("whole", F.floor(mass + EPS)).withColumn("frac", F.greatest(mass - F.col("whole"), F.lit(0.0)))
-    part = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / group))
-    rows = keep(rows.select("source", "doc_id", "size", "m", "source_size", "target", "whole", "frac", part.alias("part")), "rows")
+    part = F.pmod(F.xxhash64("doc_id", "h"), F.ceil(F.col("n") / group))
+    rows = keep_narrow(rows.select("source", "doc_id", "size", "h", "m", "source_size", "target", "whole", "frac", part.alias("part")), "rows")
 
-    alone = (F.xxhash64("doc_id", "size", F.lit(6)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52) < F.col("frac")).cast("double")
+    alone = (F.xxhash64("doc_id", "h", F.lit(6)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52) < F.col("frac")).cast("double")
     done = [rows.where("size = 0").withColumn("frac", alone), rows.where(f"size > 0 and frac <= {EPS}").withColumn("frac", F.lit(0.0))]
     open_, level = rows.where(f"size > 0 and frac > {EPS}"), 0
     while True:
         last = groups == 1
-        made = keep(open_.groupBy("source", "part").applyInArrow(_rounded(level, last), _ROW), "rounded")
+        made = keep_narrow(open_.groupBy("source", "part").applyInArrow(_rounded(level, last), _ROW), "rounded")
         done.append(made.where("frac in (0, 1)"))
         if last:
             break
@@ -138,34 +142,42 @@ def copies(docs: DataFrame, size: Column, group: int = GROUP, fan: int = FAN) ->
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("source", "doc_id", "size", "m", "source_size", "target", (F.col("whole") + F.col("frac").cast("bigint")).alias("copies"))
+    return out.select("source", "doc_id", "size", "h", "m", "source_size", "target", (F.col("whole") + F.col("frac").cast("bigint")).alias("copies"))
 
 
-def share_of(row: Column) -> Column:
-    """Copies of the row with this number (from 0) among m equal rows."""
-    return F.floor(F.col("copies") / F.col("m")) + (row < F.col("copies") % F.col("m")).cast("bigint")
+def share_of(first: Column, rows: Column) -> Column:
+    """Copies of so many rows from the row with this number (from 0) on, among m equal rows."""
+    odd = F.col("copies") % F.col("m")
+    return rows * F.floor(F.col("copies") / F.col("m")) + F.greatest(F.lit(0), F.least(first + rows, odd) - first)
+
+
+def repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Each row so often, with its number in ``_row``, in runs so that no array grows with the count."""
+    runs = rows.where(F.col(times) > 0).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(times) - 1, F.lit(RUN).cast("bigint"))))
+    return runs.withColumn("_row", F.explode(F.sequence("_run", F.least(F.col("_run") + RUN, F.col(times)) - 1)))
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:
     """One row for each document row: doc_id, source, size, source_size, target, copies, taken."""
-    c = copies(docs, word_count("text"), **how)
-    runs = c.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1, F.lit(RUN).cast("bigint"))))
-    rows = runs.withColumn("_row", F.explode(F.sequence("_run", F.least(F.col("_run") + RUN, F.col("m")) - 1)))
-    rows = rows.withColumn("copies", share_of(F.col("_row")))
+    rows = repeated(copies(docs, word_count("text"), **how), "m").withColumn("copies", share_of(F.col("_row"), F.lit(1)))
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    names = docs.columns
-    c = copies(docs, word_count("text"), **how).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_z"), "m", "copies").where("copies > 0")
-    key = [F.col("source").eqNullSafe(F.col("_s")), F.col("doc_id").eqNullSafe(F.col("_d")), word_count("text") == F.col("_z")]
-    rows = docs.select(*(F.col(f"`{n}`") for n in names)).join(c, key)
-    once = rows.where("m = 1").withColumn("_n", F.col("copies"))
-    order = Window.partitionBy("_s", "_d", "_z").orderBy(F.xxhash64("text"))
-    more = rows.where("m > 1").withColumn("_n", share_of(F.row_number().over(order) - 1))
-    both = once.unionByName(more)
-    return both.where("_n > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).select(*(F.col(f"`{n}`") for n in names))
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    Texts are shuffled once, to the counts of their key, and not sorted.
+    """
+    c = copies(docs, word_count("text"), **how).where("copies > 0").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "m", "copies")
+    given = packed(docs, s=F.col("source").cast("string"), d=F.col("doc_id").cast("bigint"), h=text_hash())
+    key = [F.col("s").eqNullSafe(F.col("_s")), F.col("d").eqNullSafe(F.col("_d")), F.col("h") == F.col("_h")]
+    rows = given.join(c.hint("shuffle_hash"), key)
+    once = rows.where("m = 1").select("row", F.col("copies").alias("n"))
+    unit = ["s", "d", "h", "m", "copies"]
+    equal = rows.where("m > 1").groupBy(*unit, "row").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("s", "d", "h").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = equal.withColumn("n", share_of(before, F.col("k"))).select("row", "n")
+    return repeated(once.unionByName(more), "n").select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ shapes with a few text measures; each group is weighted by inverse document
 frequency and has unit length. A truncated singular value decomposition of a
 labelled sample gives the latent space. The sample's vectors are broadcast and
 every document votes over its ``NEIGHBOURS`` nearest ones, by exact cosine
-products computed block by block; a vote weighs as much as its similarity.
+products computed block by block, compared to six decimals; a vote weighs as
+much as its similarity, or next to nothing where that is not positive.
 
 The sample is bounded: the ``SAMPLE`` labelled rows with the smallest hash of
 their id. So what is collected and broadcast is at most ``SAMPLE`` vectors.
@@ -14,7 +15,7 @@ Defined results: a null text is an empty one; an empty text has its measures
 for features and is voted on like any other; a document with several labels
 has their mean; labels without quality or without a document are left out; with
 no label at all every score is 0.5; ties among neighbours go to the first in
-the sample's order; repeated rows are answered row by row.
+the sample's order, by doc_id; repeated rows are answered row by row.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from .common import Sent, in_remainder, raws, table
 
 SAMPLE, RANK, NEIGHBOURS, ACCEPT, SEED = 4096, 48, 15, 0.7, 7
 WORDS, SHAPES = 3072, 1024
-SHAPE_WEIGHT, MEMO, BLOCK = 1.5, 150_000, 256
+SHAPE_WEIGHT, MEMO, BLOCK, STEPS = 1.5, 150_000, 256, 1_000_000
 _KINDS = bytes(
     ord("a") if x >= 128 or 97 <= x <= 122 else ord("A") if 65 <= x <= 90 else ord("0") if 48 <= x <= 57 else ord(".") if chr(x) in ".,;:?'\"()-" else x for x in range(256)
 )
@@ -113,10 +114,19 @@ class Model:
         if not len(self.labels):
             return np.full(len(counts), 0.5)
         cosine = self.unit(self.weighted(counts, self.idf) @ self.axes) @ self.vectors
+        return self.voted(np.rint(cosine * STEPS).astype(np.int32), k)
+
+    def voted(self, steps: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
+        """Scores from similarities in steps, documents x sample: of equals at the k-th place the first ones vote."""
         k = min(k, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-6).astype(np.float64) ** 2
-        return np.clip((weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1), 0.0, 1.0)
+        last = np.partition(steps, steps.shape[1] - k, axis=1)[:, steps.shape[1] - k, None]
+        votes = steps >= last
+        for r in np.flatnonzero(votes.sum(axis=1) > k):
+            equal = np.flatnonzero(steps[r] == last[r])
+            votes[r, equal[k - int((steps[r] > last[r]).sum()) :]] = False
+        at = np.nonzero(votes)[1].reshape(len(steps), k)
+        weight = np.maximum(np.take_along_axis(steps, at, axis=1), 1).astype(np.float64)
+        return np.clip((weight * self.labels[at]).sum(axis=1) / weight.sum(axis=1), 0.0, 1.0)
 
 
 def _sparse(batches):

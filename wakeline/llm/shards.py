@@ -6,11 +6,12 @@ records for itself, and in proportion to its weight; no other record moves.
 Draws are the leading 52 bits of md5("key:shard"), so any engine can repeat
 them. Assigning is a projection: no shuffle.
 
-Slots number a shard's records from 0 without gaps, in an order of their
-content. Equal rows are counted before the shuffle, shards are cut into
-``CUTS`` parts by a hash of the key, parts are numbered by themselves and
-shifted by the totals of the parts before them; no task holds a whole shard. The
-counted rows, without texts, are written once, so texts are read once.
+Slots number a shard's records from 0 without gaps, in the order of md5 of the
+whole record. Equal rows are counted before the shuffle, shards are cut into
+ranges of that hash, so many that one holds about ``CUT_ROWS`` records, ranges are
+numbered by themselves and shifted by the totals of those before them; no task
+holds a whole shard, and records that share a key are spread. The counted rows,
+without texts, are written once, so texts are read once.
 
 Defined results: a null key is the empty text and all such records share a
 shard; equal weights tie towards the smaller shard; repeated rows have one slot
@@ -22,15 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import keep_narrow, table
 
-SHARDS, CUTS, RUN = 8, 256, 65536
+SHARDS, CUT_ROWS, RUN = 8, 4096, 65536
 
 
 def draw(key: Column, shard: int) -> Column:
     """u in (0, 1) of a key and a shard."""
-    head = F.substring(F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.lit(str(shard)))), 1, 13)
-    return (F.conv(head, 16, 10).cast("double") + 0.5) / float(1 << 52)
+    bits = head(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.lit(str(shard))))
+    return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
 def rendezvous(key: Column, weights: list[float]) -> Column:
@@ -47,12 +48,20 @@ def assigned(docs: DataFrame, key: str = "doc_id", weights: list[float] | None =
     return docs.withColumns({"shard": rendezvous(F.col(key), weights), "grown_shard": rendezvous(F.col(key), [*weights, grown])})
 
 
-def slotted(rows: DataFrame, cuts: int = CUTS) -> DataFrame:
+def head(text: Column) -> Column:
+    """The leading 52 bits of md5."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+
+
+def slotted(rows: DataFrame, cut_rows: int = CUT_ROWS) -> DataFrame:
     """Rows (doc_id and others, shard) with slot, gapless from 0 in each shard."""
     names = rows.columns
-    cut = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint") % cuts).cast("int")
-    counted = keep(rows.groupBy(*names).agg(F.count("*").alias("_m")).withColumn("_cut", cut), "slots")
-    inside = Window.partitionBy("shard", "_cut").orderBy(*names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names))
+    counted = keep_narrow(rows.groupBy(*names).agg(F.count("*").alias("_m")).withColumn("_at", head(whole)), "slots")
+    n, shards = counted.agg(F.count("*"), F.countDistinct("shard")).first()
+    cuts = max(1, -(-n // (cut_rows * max(1, shards))))
+    counted = counted.withColumn("_cut", F.floor(F.col("_at") / F.lit(float(1 << 52)) * cuts).cast("int"))
+    inside = Window.partitionBy("shard", "_cut").orderBy("_at", *names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counted.withColumn("_end", F.sum("_m").over(inside))
     totals = counted.groupBy("shard", "_cut").agg(F.sum("_m").alias("_all"))
     before = Window.partitionBy("shard").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,8 +95,8 @@ SQL = {
     "op5_shards": f"""
 WITH steps AS (SELECT i, list_reduce([i]::BIGINT[] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(0, 256) r(i)),
 tab AS (SELECT list(c ORDER BY i) AS tab FROM steps),
-d AS (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h, CAST({_least(SHARDS)} AS INTEGER) AS shard, CAST({_least(SHARDS + 1)} AS INTEGER) AS grown_shard, {_HEAD.format(_KEY, 8)} % {CUTS} AS cut FROM documents),
+d AS (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h, CAST({_least(SHARDS)} AS INTEGER) AS shard, CAST({_least(SHARDS + 1)} AS INTEGER) AS grown_shard FROM documents),
 b AS (SELECT *, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS bytes FROM d),
 r AS (SELECT *, CAST(len(bytes) + 1 AS BIGINT) AS size, CAST(xor(list_reduce([4294967295]::BIGINT[] || bytes, lambda a, x: xor(a >> 8, tab[CAST((xor(a, x) & 255) + 1 AS BIGINT)])), 4294967295) AS BIGINT) AS text_crc32 FROM b, tab)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY cut, doc_id, size, text_crc32, grown_shard) - 1 AS BIGINT) AS slot, grown_shard FROM r""",
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY {_HEAD.format(f"{_KEY} || ':' || size || ':' || text_crc32 || ':' || shard || ':' || grown_shard", 13)}, doc_id, size, text_crc32, grown_shard) - 1 AS BIGINT) AS slot, grown_shard FROM r""",
 }
