@@ -29,7 +29,7 @@ def test_decontaminate(spark, odd, empty):
     bench = spark.createDataFrame([(1, "cat sat on the mat and looked at the dog", 1), (2, None, 1), (3, "", 1), (4, "x", 1), (1, "cat sat on the mat and looked at the dog", 1)], "item_id bigint, text string, doc_id int")
     got = sorted((r.doc_id or -1, r.item_id, r.score) for r in decontaminate.contaminated(odd, bench).collect())
     assert got == [(-1, 1, 1.0), (1, 1, 1.0), (1, 1, 1.0), (7, 4, 1.0)]
-    assert sorted(r.doc_id for r in decontaminate.decontaminated(odd, bench).collect()) == [2, 3, 4, 5, 6]
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(odd, bench).collect()) == [2, 3, 4, 5, 6, 7]  # an item of one word shows no leak
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(odd, bench.limit(0)).count() == 0
     assert decontaminate.decontaminated(odd, bench.limit(0)).count() == odd.count()
 

@@ -42,3 +42,21 @@ def test_a_count_is_enough_in_a_large_host(spark):
     rows = [(k, OWN.format(letters(k)) + (f"\n{line}" if k < 11 else ""), "big", k) for k in range(3000)]
     out = line_rules.judged(spark.createDataFrame(rows, DOCS)).where("lost_words > 0").collect()
     assert sorted(r.doc_id for r in out) == list(range(11)) and {r.lost_words for r in out} == {6}
+
+
+def test_copies_are_documents_unless_texts_are_asked_for(spark):
+    line = "this site uses cookies to make your visit better for all of us"
+    rows = [(k, f"{line}\nshort own body of these pages", "a", k) for k in range(50)] + [(100 + k, f"{line}\n{OWN.format(letters(k))}", "b", 0) for k in range(3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = line_rules.judged(docs).collect()
+    assert {r.lost_words for r in out if r.host == "a"} == {19} and {r.lost_words for r in out if r.host == "b"} == {0}
+    assert {r.lost_words for r in line_rules.judged(docs, copies_once=True).collect()} == {0}
+    none = docs.withColumn("doc_id", docs.doc_id * None)
+    assert {r.lost_words for r in line_rules.judged(none).collect()} == {0}
+    assert {r.lost_words for r in line_rules.judged(docs, share=0.99).collect() if r.host == "a"} == {19}
+    monkey = line_rules.SENT_ROWS
+    line_rules.SENT_ROWS = 0
+    try:
+        assert sorted(map(str, line_rules.judged(docs).collect())) == sorted(map(str, out))
+    finally:
+        line_rules.SENT_ROWS = monkey

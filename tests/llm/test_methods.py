@@ -175,10 +175,12 @@ def test_viterbi_against_all_labellings_and_short_cut():
         s = rng.normal(0, 12, (int(rng.integers(1, 7)), 3)).astype(np.float32)
         cost = lambda p: sum(s[i, k] for i, k in enumerate(p)) - language_id.PENALTY * sum(a != b for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
         best = max(cost(p) for p in product(range(3), repeat=len(s)))
-        path = [k for k, lo, hi in language_id.viterbi(s) for _ in range(lo, hi)]
+        cut = int(rng.integers(0, len(s) + 1))
+        halves = [x for x in (s[:cut], s[cut:]) if len(x)]
+        path = [k for k, lo, hi in language_id.viterbi(halves) for _ in range(lo, hi)]
         assert len(path) == len(s) and cost(path) == pytest.approx(best, abs=1e-3)
         g = int(s.sum(0).argmax())
-        if language_id.one_span(s, g):
+        if language_id.one_span(halves, g):
             assert cost([g] * len(s)) == pytest.approx(best, abs=1e-3)
 
 
@@ -189,6 +191,38 @@ def test_spans_of_a_mixed_text(spark, documents):
     assert lang == "en" and [s["lang"] for s in spans][0] == "en" and [s["lang"] for s in spans][-1] == "de" and len(spans) <= 4
 
 
+def test_scripts_close_words_to_other_languages(spark):
+    rows = [(k, "the house on the hill and the river", "en") for k in range(5)] + [(10 + k, "дом на холме и река у моста", "ru") for k in range(5)] + [(20 + k, "das haus auf dem berg und der fluss", "de") for k in range(5)]
+    model = language_id.fitted(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    scores = model.scored(*language_id.parse(["the дом אבג"], model.kinds)[:3])
+    assert model.langs == ["de", "en", "ru"] and np.isfinite(scores).tolist() == [[True, True, False], [False, False, True], [True, True, True]]
+    (lang, _, spans), = model.label(["the house on the hill дом на холме и река у моста the river"])
+    assert [s["lang"] for s in spans] == ["en", "ru", "en"] and lang == "en"
+
+
+def test_every_language_is_learned_whatever_repeats(spark):
+    letters = "abcdefghijklmnopqrst"
+    rows = [(k, f"{c * 3}x {c * 4}y {c}z{c}", f"l{k:02}") for k, c in enumerate(letters)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    often = docs.crossJoin(spark.range(5000)).drop("id")
+    one, many = language_id.fitted(docs, F.lit(True)), language_id.fitted(often, F.lit(True))
+    assert one.langs == many.langs == [f"l{k:02}" for k in range(20)]
+    assert all(np.array_equal(one.logs[k], many.logs[k]) for k in one.logs)
+
+
+def test_long_texts_are_labelled_as_in_one_piece(spark, documents, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAIN", 50)
+    model = language_id.fitted(spark.createDataFrame(documents[["doc_id", "text", "lang"]]), F.lit(True), 50)
+    texts = [t for t in documents.text if len(t) > 400][:30]
+    texts += [a[:300] + " " + b[-300:] for a, b in zip(texts, texts[7:], strict=False)]
+    whole = model.label(texts)
+    for size in (40, 333):
+        model.slice = size
+        for t, (lang, score, spans) in zip(texts, whole, strict=True):
+            got = model.label_long(t)
+            assert (got[0], got[2]) == (lang, spans) and got[1] == pytest.approx(score, abs=1e-4)
+
+
 # Shards.
 def test_rendezvous_moves_only_into_the_new_shard(spark):
     weights = [1.0, 2.0, 1.0, 4.0]
@@ -277,6 +311,35 @@ def test_rules_are_hundreds_and_compile():
         assert any(all(key in choice for choice in choices) for choices in needed), (key, rule)
 
 
+def test_two_hundred_rules_are_written_by_hand():
+    assert len(set(license_rules.SIGNATURES)) >= 200
+
+
+def test_prefilter_changes_nothing(documents):
+    """Every regex over every text finds what the rules whose keyword occurs find."""
+    listed = license_rules.rules()
+    s = license_scan.Scanner(listed)
+    more = [f"{r.replace('[', '').replace(']', '').replace('*', 'x').split('/')[0]} and so on" for *_, r in listed[::3]]
+    slow = [__import__("re").compile(license_rules.regex(r)) for *_, r in listed]
+    for t in [*documents.text, *more]:
+        plain = " " + " ".join("".join(c if c.isalnum() or not c.isascii() else " " for c in "".join(x.lower() if x.isascii() else x for x in t)).split()) + " "
+        assert s.detections(plain) == [(*m.span(), k) for k, r in enumerate(slow) for m in r.finditer(plain)]
+
+
+def test_license_query_against_a_plain_word_scan(result, documents):
+    import re
+
+    r = {x.doc_id: x for x in result("op8_license_scan", D).itertuples()}
+    assert len(r) == len(documents)
+    for d in documents.itertuples():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), d.text))
+        places = [(k, label) for phrase, label in license_rules.BASE for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        got, starts = r[d.doc_id], [k for k, _ in places]
+        assert (got.n_words, got.n_base, got.base_labels) == (len(words), len(places), ",".join(sorted({x for _, x in places})))
+        assert not places and got.first_word != got.first_word or (got.first_word, got.last_word) == (min(starts), max(starts))
+        assert set(filter(None, got.base_labels.split(","))) <= set(got.labels.split(",")) | {""}
+
+
 def scan(text):
     return license_scan.Scanner(license_rules.rules()).scan(text.encode())
 
@@ -378,6 +441,50 @@ def test_windows_keep_the_system_turn_and_limit_history(spark):
     assert learned == "".join(t for *_, role, t in rows if role == "assistant")
 
 
+def plain_windows(rows, budget, history):
+    """(begin, shown turns, own turns) of one conversation's (role, text) by a running sum."""
+    tokens = [(len(t) + 3) // 4 + 4 for _, t in rows]
+    lead = rows[0][0] == "system"
+    room = max(budget - history - (tokens[0] if lead else 0), max(history, budget // 4))
+    starts, at = [], 0
+    for n in tokens:
+        starts.append(at)
+        at += n
+    out, k = [], 0
+    while k < len(rows):
+        cell = [i for i in range(k, len(rows)) if starts[i] // room == starts[k] // room]
+        k = cell[-1] + 1
+        over = len(cell) > 1 and starts[cell[-1]] + tokens[cell[-1]] - starts[cell[0]] > room
+        for own in ([cell[:-1], cell[-1:]] if over else [cell]):
+            b = starts[own[0]]
+            shown = [0] * (lead and b > 0) + [i for i in range(own[0]) if b - starts[i] <= history and not (lead and i == 0)]
+            out.append((b, shown, own, sum(tokens[i] for i in shown + own)))
+    return out, tokens, room
+
+
+@pytest.mark.parametrize(("budget", "history", "cut"), [(1024, 256, 64), (120, 30, 3), (60, 10, 1), (300, 75, 7)])
+def test_windows_equal_a_running_sum_and_keep_the_budget(spark, budget, history, cut):
+    rng = np.random.default_rng(budget)
+    convs = {}
+    for c in range(12):
+        sizes = rng.choice([0, 20, 90, 400, 1500], 150, p=[0.1, 0.4, 0.3, 0.15, 0.05]) if c else [2384] * 9
+        roles = ["system" if c % 2 and k == 0 else ("user", "assistant")[k % 2] for k in range(len(sizes))]
+        convs[c] = [(r, f"{k}:" + "w" * max(0, int(n) - 3)) for k, (r, n) in enumerate(zip(roles, sizes, strict=True))]
+    rows = [(c, k, r, t, "x", 1, 2, 3) for c, ts in convs.items() for k, (r, t) in enumerate(ts)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, key string, cut int, line int, o int")
+    got = {}
+    for w in chat_format.windows(df, budget, history, cut).orderBy("conv_id", "window").collect():
+        turns = [tuple(x[len("<|turn|>") :].split("\n", 1)) for x in w.text.split("<|end|>\n")[:-1]]
+        own = w.text[w.own_from :].count("<|turn|>")
+        got.setdefault(w.conv_id, []).append((w.window, turns[: len(turns) - own], turns[len(turns) - own :], [w.text[s["from"] : s["to"]] for s in w.loss]))
+    for c, ts in convs.items():
+        want, tokens, room = plain_windows(ts, budget, history)
+        assert [(b, [ts[i] for i in shown], [ts[i] for i in own], [ts[i][1] for i in own if ts[i][0] == "assistant"]) for b, shown, own, _ in want] == got[c]
+        for _, _, own, total in want:
+            small_lead = budget - history - (tokens[0] if ts[0][0] == "system" else 0) >= max(history, budget // 4)
+            assert total <= budget or (len(own) == 1 and tokens[own[0]] > room) or not small_lead
+
+
 def test_main_paths_are_native(spark):
     for name in ("op5_shards", "op9_chat_format"):
         plan = queries.QUERIES[name](spark, D)._jdf.queryExecution().executedPlan().toString()

@@ -1,11 +1,20 @@
 """Chat formatting in budgeted windows, DataFrame functions only.
 
-A conversation's turns are cut into spans by the prefix sum of their tokens: a
-turn belongs to span floor(tokens before it / ``BUDGET``), so spans end at turns
-and hold about ``BUDGET`` tokens. Each window shows the system turn, then those
-turns of the span before that begin at most ``HISTORY`` tokens ahead, then its
-own turns. The loss mask covers the texts of its own assistant turns only, so a
-repeated target is never learned twice.
+A window shows the system turn of its conversation, a limited history, and turns
+of its own, which follow one another; every turn is some window's own once. The
+system turn, history and own turns together hold at most ``BUDGET`` tokens. Only a
+turn that alone exceeds its room is an exception: it has a window to itself
+(with system turn and history), and so is a system turn of over
+``BUDGET - HISTORY - BUDGET / 4`` tokens, as own turns have a quarter of the budget
+at least.
+
+Windows come from the prefix sum of tokens. Room is the budget less history and
+system turn, and a turn lies in cell floor(tokens before it / room). The turns
+that begin in a cell are one window, counted from where the first of them
+begins; if they overrun the room, the last one, and only that one can, is a
+window of its own. History is the earlier turns that begin at most ``HISTORY``
+tokens before the window. The loss mask covers the texts of a window's own
+assistant turns only, so a repeated target is never learned twice.
 
 A turn is written ``<|turn|>role\\ntext<|end|>\\n``. Control strings inside a text
 get a backslash after their first character and backslashes are doubled, so
@@ -13,12 +22,14 @@ texts never hold a marker and can be read back exactly. In a role, % and new
 lines are percent-coded as well.
 
 Prefix sums are taken in two steps, inside cuts of ``CUT`` turn numbers and over
-the cuts' totals, so a long conversation is many tasks. Tokens of a turn: one
-for each four characters begun, and four.
+the cuts' totals, so a long conversation is many tasks; a cell's turns are at
+most its room in number. Tokens of a turn: one for each four characters begun,
+and four; the markup around it is not counted.
 
 Defined results: null roles and texts are empty; turns with equal numbers are
 ordered by role and text, a null number comes first; repeated rows are turns of
-their own; an empty table gives no windows; other columns are ignored.
+their own; an empty table gives no windows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -50,6 +61,10 @@ def _unrole(role: Column) -> Column:
     return F.replace(F.replace(unescaped(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
+def tokens_of(text: Column) -> Column:
+    return F.floor((F.length(text) + 3) / 4).cast("bigint") + 4
+
+
 def prefixed(turns: DataFrame, cut: int = CUT) -> DataFrame:
     """turns (conv_id, turn, role, text) with ``key`` (conv_id without nulls), tokens, ``before`` (tokens ahead of the turn) and ``lead`` (the conversation's system turn, if it opens it).
 
@@ -57,7 +72,7 @@ def prefixed(turns: DataFrame, cut: int = CUT) -> DataFrame:
     add is joined in place.
     """
     t = turns.select(F.coalesce("conv_id", F.lit(-(1 << 63))).alias("key"), "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("tokens", F.floor((F.length("text") + 3) / 4).cast("bigint") + 4).withColumn("cut", F.coalesce(F.floor(F.col("turn") / cut), F.lit(-(1 << 62))))
+    t = t.withColumn("tokens", tokens_of(F.col("text"))).withColumn("cut", F.coalesce(F.floor(F.col("turn") / cut), F.lit(-(1 << 62))))
     ahead = Window.partitionBy("key").orderBy("cut")
     system = F.when(F.col("role") == "system", F.col("text"))
     totals = t.groupBy("key", "cut").agg(F.sum("tokens").alias("n"), F.min(F.struct("turn", "role", system.alias("system"))).alias("opens"))
@@ -67,39 +82,47 @@ def prefixed(turns: DataFrame, cut: int = CUT) -> DataFrame:
     return t.join(totals, ["key", "cut"]).withColumn("before", F.col("inner") + F.col("shift")).drop("inner", "shift")
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, text, own_from (character where the window's own turns begin) and loss (from, to) in characters.
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, cut: int = CUT) -> DataFrame:
+    """conv_id, window (tokens before its own turns), text, own_from (character where they begin) and loss (from, to) in characters.
 
-    A turn offers itself to its own window and, where the next one may begin
-    close enough, to that one too; the first turn of a window in its cut
-    brings the system turn along. The window then keeps what belongs to it.
+    A turn offers itself to its own cell and, where a window of the next one may
+    begin close enough, to that one too; the first turn of a cell in its cut
+    brings the system turn along. One shuffle gathers the cells, which then
+    become one or two windows each.
     """
-    t = prefixed(turns).withColumn("window", F.floor(F.col("before") / budget))
+    t = prefixed(turns, cut)
+    lead = F.when(F.col("lead").isNotNull(), tokens_of(F.col("lead"))).otherwise(0)
+    t = t.withColumn("room", F.greatest(budget - history - lead, F.lit(max(history, budget // 4))))
+    t = t.withColumn("cell", F.floor(F.col("before") / F.col("room")))
     written = lambda role, text: F.concat(F.lit(BEGIN), _role(role), F.lit("\n"), escaped(text), F.lit(END))
-    opening = F.coalesce(F.lag("window").over(Window.partitionBy("key", "cut").orderBy("turn", "role", "text")) != F.col("window"), F.lit(True))
-    t = t.withColumn("opening", opening & F.col("lead").isNotNull() & (F.col("window") > 0))
-    own_line, size = written(F.col("role"), F.col("text")), F.length(escaped(F.col("text")))
-    part = lambda window, k, before, target, line, size: F.struct(window.alias("window"), F.lit(k).alias("part"), before.alias("before"), target.alias("target"), line.alias("line"), size.alias("size"))
-    no, zero = F.lit(False), F.lit(0).cast("bigint")
-    next_ = F.col("window") + 1
-    is_lead = F.col("lead").isNotNull() & (F.col("before") == 0)
+    order = Window.partitionBy("key", "cut").orderBy("turn", "role", "text")
+    opening = F.coalesce(F.lag("cell").over(order) != F.col("cell"), F.lit(True)) & F.col("lead").isNotNull()
+    t = t.withColumns({"opening": opening, "line": written(F.col("role"), F.col("text")), "size": F.length(escaped(F.col("text")))})
+    t = t.withColumn("is_lead", F.col("lead").isNotNull() & (F.col("before") == 0))
+    part = lambda cell, k, before, end, target, fixed, line, size: F.struct(cell.alias("cell"), F.lit(k).alias("part"), before.alias("before"), end.alias("end"), target.alias("target"), fixed.alias("fixed"), line.alias("line"), size.alias("size"))
+    no, zero, cell, before, end, line = F.lit(False), F.lit(0).cast("bigint"), F.col("cell"), F.col("before"), F.col("before") + F.col("tokens"), F.col("line")
     offers = F.array(
-        part(F.col("window"), 2, F.col("before"), F.col("role") == "assistant", F.col("line"), F.col("size")),
-        F.when(~is_lead & (next_ * budget - F.col("before") <= history), part(next_, 1, F.col("before"), no, F.col("line"), F.col("size"))),
-        F.when(F.col("opening"), part(F.col("window"), 0, zero, no, written(F.lit("system"), F.col("lead")), F.lit(0))),
+        part(cell, 2, before, end, F.col("role") == "assistant", F.col("is_lead"), line, F.col("size")),
+        F.when(~F.col("is_lead") & (F.floor((before + history) / F.col("room")) > cell), part(cell + 1, 1, before, end, no, no, line, F.col("size"))),
+        F.when(F.col("opening"), part(cell, 0, zero, zero, no, F.lit(True), written(F.lit("system"), F.col("lead")), F.lit(0))),
     )
-    t = t.withColumns({"line": own_line, "size": size})
-    rows = t.select("key", "conv_id", F.explode(F.filter(offers, lambda x: x.isNotNull())).alias("o")).select("key", "conv_id", "o.*")
-    w = rows.groupBy("key", "conv_id", "window").agg(F.array_sort(F.collect_list(F.struct("part", "before", "target", "line", "size"))).alias("ts"))
-    begin = F.array_min(F.transform(F.filter("ts", lambda x: x["part"] == 2), lambda x: x["before"]))
-    w = w.withColumn("begin", begin).where("begin is not null")
-    w = w.withColumn("ts", F.filter("ts", lambda x, i: F.when(x["part"] == 0, i == 0).when(x["part"] == 1, F.col("begin") - x["before"] <= history).otherwise(True)))
+    rows = t.select("key", "conv_id", "room", F.explode(F.filter(offers, lambda x: x.isNotNull())).alias("o")).select("key", "conv_id", "room", "o.*")
+    c = rows.groupBy("key", "conv_id", "room", "cell").agg(F.array_sort(F.collect_list(F.struct("part", "before", "end", "target", "fixed", "line", "size"))).alias("all"))
+    c = c.withColumns({"own": F.filter("all", lambda x: x["part"] == 2), "past": F.filter("all", lambda x: x["part"] == 1), "lead": F.try_element_at(F.filter("all", lambda x: x["part"] == 0), F.lit(1))}).where("size(own) > 0")
+    n, first, last = F.size("own"), F.col("own")[0]["before"], F.element_at("own", -1)
+    over = (n > 1) & (last["end"] - first > F.col("room"))
+    window = lambda begin, own: F.struct(begin.alias("begin"), own.alias("own"))
+    both = F.when(over, F.array(window(first, F.slice("own", F.lit(1), n - 1)), window(last["before"], F.array(last)))).otherwise(F.array(window(first, F.col("own"))))
+    w = c.select("conv_id", "lead", "past", F.col("own").alias("near"), F.explode(both).alias("w"))
+    begin = F.col("w.begin")
+    before_it = F.filter(F.concat("past", "near"), lambda x: ~x["fixed"] & (x["before"] < begin) & (begin - x["before"] <= history))
+    shown = F.concat(F.when(F.col("lead").isNotNull() & (begin > 0), F.array("lead")).otherwise(F.slice("near", 1, 0)), F.transform(before_it, lambda x: x.withField("target", no)))
+    w = w.select("conv_id", begin.alias("window"), F.size(shown).alias("shown"), F.concat(shown, "w.own").alias("ts"))
     width = F.transform("ts", lambda x: F.length(x["line"]).cast("bigint"))
     w = w.withColumn("ends", F.aggregate(width, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint"))))))
     marked = F.transform("ts", lambda x, i: F.struct(x["target"].alias("on"), (F.col("ends")[i] - len(END) - x["size"]).alias("from"), (F.col("ends")[i] - len(END)).alias("to")))
     loss = F.transform(F.filter(marked, lambda x: x["on"]), lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to")))
-    shown = F.size(F.filter("ts", lambda x: x["part"] < 2))
-    own_from = F.coalesce(F.try_element_at("ends", F.when(shown > 0, shown)), F.lit(0)).cast("bigint")
+    own_from = F.coalesce(F.try_element_at("ends", F.when(F.col("shown") > 0, F.col("shown"))), F.lit(0)).cast("bigint")
     return w.select("conv_id", "window", F.array_join(F.transform("ts", lambda x: x["line"]), "").alias("text"), own_from.alias("own_from"), loss.alias("loss"))
 
 
@@ -135,12 +158,14 @@ WITH t AS (
 k AS (SELECT *, (length(text) + 3) // 4 + 4 AS tokens,
   length(text) + length(text) - length(replace(text, chr(92), '')) + len(regexp_extract_all(text, '<\||</?s>|\[/?INST\]|<</?SYS>>')) AS size FROM t),
 p AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
-w AS (SELECT *, before // 1024 AS win, length(role) + 17 + size AS chars, role = 'system' AND before = 0 AS lead FROM p),
-s AS (SELECT conv_id, win, min(before) AS begin FROM w GROUP BY ALL),
+l AS (SELECT *, role = 'system' AND before = 0 AS lead, length(role) + 17 + size AS chars, greatest(1024 - 256 - coalesce(max(tokens) FILTER (role = 'system' AND before = 0) OVER (PARTITION BY conv_id), 0), 256) AS room FROM p),
+c AS (SELECT *, min(before) OVER (PARTITION BY conv_id, before // room) AS b FROM l),
+w AS (SELECT *, CASE WHEN before + tokens - b > room THEN before ELSE b END AS own FROM c),
+s AS (SELECT DISTINCT conv_id, own AS begin FROM w),
 shown AS (
   SELECT conv_id, chars FROM w
-  UNION ALL SELECT w.conv_id, chars FROM w JOIN s ON w.conv_id = s.conv_id AND w.win + 1 = s.win AND NOT lead AND begin - before <= 256
-  UNION ALL SELECT w.conv_id, chars FROM w JOIN s ON w.conv_id = s.conv_id AND lead AND s.win > 0),
+  UNION ALL SELECT w.conv_id, chars FROM w JOIN s ON w.conv_id = s.conv_id AND NOT lead AND before < begin AND begin - before <= 256
+  UNION ALL SELECT w.conv_id, chars FROM w JOIN s ON w.conv_id = s.conv_id AND lead AND begin > 0),
 f AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM shown GROUP BY conv_id)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,

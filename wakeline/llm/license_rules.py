@@ -5,6 +5,9 @@ single spaces. ``[x]`` marks an optional word, ``a/b`` a choice of words and
 ``*`` one arbitrary word. Rules stand in order; the class of a rule gives its
 priority (1 comes first) and its confidence. Every rule names the keyword that
 has to occur before its regex is tried.
+
+``SIGNATURES`` are written by hand; the usual ways to name each of ``LICENSES`` in a
+tag or a grant are made from four patterns.
 """
 
 from __future__ import annotations
@@ -201,6 +204,142 @@ SIGNATURES = [
     ("hint", "copyright", "copyright", "copyright holder/holders/owner/notice"),
     ("hint", "copyright", "copyrighted", "copyrighted material/work/content"),
     ("hint", "open-source", "source", "open source license/licence"),
+    ("text", "apache-2.0", "derivative", "you may reproduce and distribute copies of the work or derivative works thereof in any medium"),
+    ("text", "apache-2.0", "perpetual", "grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright/patent license"),
+    ("text", "apache-2.0", "trademarks", "this license does not grant permission to use the trade names trademarks service marks or product names of the licensor"),
+    ("text", "apache-2.0", "prominent", "you must cause any modified files to carry prominent notices stating that you changed the files"),
+    ("text", "apache-1.1", "foundation", "this product includes software developed by the apache software foundation"),
+    ("text", "mit", "sublicense", "to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("text", "mit", "furnished", "to permit persons to whom the software is furnished to do so"),
+    ("text", "x11", "advertising", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("text", "isc", "appear", "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("text", "hpnd", "documentation", "permission to use copy modify and distribute this software and its documentation for any purpose"),
+    ("text", "hpnd", "publicity", "shall not be used in advertising or publicity pertaining to distribution of the software"),
+    ("text", "bsd", "disclaimer", "this list of conditions and the following disclaimer"),
+    ("text", "bsd", "contributors", "this software is provided by the copyright holders and contributors as is"),
+    ("text", "bsd", "regents", "this software is provided by the regents and contributors as is"),
+    ("text", "bsd", "consequential", "direct indirect incidental special exemplary or consequential damages"),
+    ("text", "bsd-4-clause", "university", "this product includes software developed by the university of california"),
+    ("text", "zlib", "anyone", "permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("text", "zlib", "removed", "this notice may not be removed or altered from any source distribution"),
+    ("text", "gpl", "distributed", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("text", "lgpl", "distributed", "this library is distributed in the hope that it will be useful but without any warranty"),
+    ("text", "gpl", "freedom", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("text", "gpl", "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("text", "gpl", "covered", "to propagate or modify any covered work"),
+    ("text", "gpl", "convey", "you may convey verbatim copies of the program s source code"),
+    ("text", "gpl", "temple", "free software foundation inc 59 temple place"),
+    ("text", "gpl", "franklin", "free software foundation inc 51 franklin street"),
+    ("text", "lgpl", "combine", "you may combine or link a work that uses the library with the library"),
+    ("text", "agpl-3.0", "modified", "if you modify the program your modified version must prominently offer all users"),
+    ("text", "agpl", "ensure", "designed specifically to ensure cooperation with the community in the case of network server software"),
+    ("text", "gfdl", "permission", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("text", "gfdl", "invariant", "with the invariant sections being"),
+    ("text", "mpl-2.0", "mpl", "if a copy of the mpl was not distributed with this file"),
+    ("text", "mpl-2.0", "incompatible", "this source code form is incompatible with secondary licenses"),
+    ("text", "mpl-1.1", "contents", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("text", "mpl", "distributed", "software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied see the license for the specific language"),
+    ("text", "epl-2.0", "secondary", "this source code may also be made available under the following secondary licenses"),
+    ("text", "cddl", "distribution", "the contents of this file are subject to the terms of the common development and distribution license [the] [license] [cddl]"),
+    ("text", "cpl-1.0", "recipient", "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("text", "bsl-1.0", "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("text", "bsl-1.0", "machine", "solely in the form of machine executable object code generated by a source language processor"),
+    ("text", "unlicense", "benefit", "we make this dedication for the benefit of the public at large"),
+    ("text", "unlicense", "relinquishment", "an overt act of relinquishment in perpetuity of all present and future rights"),
+    ("text", "wtfpl", "everyone", "everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
+    ("text", "cc0-1.0", "contravention", "to the greatest extent permitted by but not in contravention of applicable law affirmer hereby overtly fully permanently"),
+    ("text", "cc0-1.0", "copy", "you can copy modify distribute and perform the work even for commercial purposes all without asking permission"),
+    ("text", "cc-by", "appropriate", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("text", "cc-by-sa", "contributions", "if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("text", "cc-by-nc", "commercial", "you may not use the material for commercial purposes"),
+    ("text", "cc-by-nd", "modified", "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("text", "cc", "adapted", "adapted material means material subject to copyright and similar rights that is derived from or based upon the licensed material"),
+    ("text", "cc", "licensor", "the licensor hereby grants you a worldwide royalty free non sublicensable non exclusive irrevocable license"),
+    ("text", "cc", "corporation", "creative commons corporation is not a law firm and does not provide legal services"),
+    ("text", "odbl-1.0", "database", "this database is made available under the open database license"),
+    ("text", "odbl-1.0", "individual", "any rights in individual contents of the database are licensed under the database contents license"),
+    ("text", "pddl-1.0", "dedicates", "the rightsholder dedicates the whole of the copyright in the database to the public domain"),
+    ("text", "artistic-2.0", "package", "this license establishes the terms under which a given free software package may be copied modified distributed"),
+    ("text", "artistic-1.0", "semblance", "the copyright holder maintains some semblance of artistic control over the development of the package"),
+    ("text", "afl", "academic", "licensed under the academic free license"),
+    ("text", "osl", "open", "licensed under the open software license"),
+    ("text", "ms-pl", "contributor", "each contributor grants you a non exclusive worldwide royalty free copyright license to reproduce its contribution"),
+    ("text", "eupl", "eupl", "licensed under the eupl"),
+    ("text", "cecill", "cecill", "governed by the cecill [b/c] license under french law"),
+    ("text", "psf-2.0", "psf", "psf is making python available to licensee on an as is basis"),
+    ("text", "php-3.01", "php", "this product includes php software freely available from"),
+    ("text", "openssl", "toolkit", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("text", "ssleay", "cryptographic", "this product includes cryptographic software written by eric young"),
+    ("text", "ncsa", "deal", "permission is hereby granted to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
+    ("text", "postgresql", "agreement", "without a written agreement is hereby granted provided that the above copyright notice and this paragraph"),
+    ("text", "curl", "permission", "copyright and permission notice copyright [c] [*] [*] daniel stenberg"),
+    ("text", "sspl-1.0", "service", "if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("text", "elastic-2.0", "managed", "you may not provide the software to third parties as a hosted or managed service"),
+    ("text", "busl-1.1", "production", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use"),
+    ("text", "openrail", "restrictions", "use based restrictions set forth in attachment a"),
+    ("text", "llama", "llama", "llama [2/3] community license agreement"),
+    ("text", "ogl-3.0", "information", "contains public sector information licensed under the open government licence"),
+    ("text", "gutenberg", "ebook", "this ebook is for the use of anyone anywhere"),
+    ("text", "gutenberg", "trademark", "project gutenberg is a registered trademark"),
+    ("text", "warranty", "fitness", "fitness for a particular purpose and noninfringement"),
+    ("text", "warranty", "disclaims", "disclaims all warranties with regard to this software"),
+    ("text", "warranty", "performance", "the entire risk as to the quality and performance of the program is with you"),
+    ("notice", "proprietary", "trade", "this [document/file/software] contains trade secrets"),
+    ("notice", "proprietary", "confidential", "confidential information of the company/owner"),
+    ("notice", "proprietary", "unpublished", "this is unpublished proprietary source code"),
+    ("notice", "proprietary", "redistribution", "redistribution is [strictly/expressly] prohibited"),
+    ("notice", "proprietary", "consent", "without the [express] [prior] [written] consent of"),
+    ("notice", "proprietary", "internal", "for internal use only"),
+    ("notice", "proprietary", "evaluation", "for evaluation purposes only"),
+    ("notice", "proprietary", "published", "may not be published broadcast rewritten or redistributed"),
+    ("notice", "proprietary", "resale", "not for resale"),
+    ("notice", "proprietary", "respective", "property of their respective owners"),
+    ("notice", "public-domain", "expired", "copyright has expired"),
+    ("notice", "public-domain", "domain", "is a public domain work"),
+    ("notice", "public-domain", "copyright", "no known copyright restrictions"),
+    ("notice", "public-domain", "waive", "waive all copyright and related rights"),
+    ("notice", "us-government", "17", "17 u s c 105"),
+    ("notice", "dmca", "dmca", "dmca notice/takedown/complaint/policy"),
+    ("notice", "dmca", "infringement", "claimed [copyright] infringement"),
+    ("notice", "dual", "choose", "you may choose either license"),
+    ("notice", "dual", "option", "at your option any later version"),
+    ("notice", "nc-use", "educational", "for educational use/purposes only"),
+    ("notice", "nc-use", "private", "for private use only"),
+    ("notice", "permission", "permission", "used/reprinted/reproduced with permission"),
+    ("notice", "permission", "free", "free to use with credit/attribution"),
+    ("notice", "copyleft", "copyleft", "copyleft all wrongs reserved"),
+    ("notice", "patent", "patent", "patent pending"),
+    ("notice", "trademark", "registered", "is a registered trademark of"),
+    ("url", "cc", "creativecommons", "creativecommons org licenses"),
+    ("url", "spdx", "spdx", "spdx org licenses"),
+    ("url", "choosealicense", "choosealicense", "choosealicense com licenses"),
+    ("url", "isc", "opensource", "opensource org licenses isc [license]"),
+    ("url", "apache-2.0", "opensource", "opensource org licenses apache 2 0"),
+    ("url", "artistic-2.0", "opensource", "opensource org licenses artistic [license] 2 0"),
+    ("url", "epl", "opensource", "opensource org licenses epl"),
+    ("url", "openssl", "openssl", "openssl org source license"),
+    ("url", "postgresql", "postgresql", "postgresql org about licence"),
+    ("url", "psf-2.0", "python", "docs python org license"),
+    ("url", "ogl-3.0", "nationalarchives", "nationalarchives gov uk doc open government licence"),
+    ("url", "gutenberg", "gutenberg", "gutenberg org license"),
+    ("url", "wtfpl", "wtfpl", "wtfpl net"),
+    ("url", "elastic-2.0", "elastic", "elastic co licensing elastic license"),
+    ("url", "sspl-1.0", "mongodb", "mongodb com licensing server side public license"),
+    ("name", "cc0-1.0", "creative", "creative commons zero"),
+    ("name", "ogl", "ogl", "ogl licence/license"),
+    ("name", "isc", "isc", "isc style license"),
+    ("name", "wtfpl", "fuck", "do what the fuck you want to public license"),
+    ("name", "mpl", "mpl", "mplv1/mplv2/mpl1/mpl2"),
+    ("name", "apache", "apache", "apache style license"),
+    ("name", "unlicense", "unlicense", "the unlicense"),
+    ("hint", "license-file", "notice", "see the notice file"),
+    ("hint", "license-file", "licenses", "see the licenses directory/folder"),
+    ("hint", "license-file", "distributed", "license file distributed with this/the"),
+    ("hint", "license-terms", "agree", "by using this [software/site/service] you agree to"),
+    ("hint", "license-terms", "agreement", "end user license agreement"),
+    ("hint", "copyright", "copyrights", "all other trademarks and copyrights"),
+    ("hint", "copyright", "copr", "copr 19*/20*"),
+    ("hint", "open-source", "libre", "free libre [and] open source software"),
 ]
 
 

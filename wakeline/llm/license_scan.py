@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sent, batch, raws, table
+from .common import Sent, batch, by_text, raws, table
 from .license_rules import BASE, CLASSES, regex, rules
 
 _PLAIN = bytes(x if x >= 128 or chr(x).isalnum() else 32 for x in range(256))
@@ -128,7 +128,7 @@ def scanned(docs: DataFrame, listed: list[tuple[str, str, str, str]] | None = No
     """For each row the base columns, labels, score and every detection with its words and whether it was taken."""
     given = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     ddl = f"doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, found {_FOUND}"
-    return given.mapInArrow(_scanned(Sent(docs.sparkSession, listed or rules())), ddl)
+    return by_text(given, _scanned(Sent(docs.sparkSession, listed or rules())), ddl)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, keep, keep_narrow, packed, raws, table, text_hash
+from .common import by_text, forget, keep, keep_narrow, packed, raws, table, text_hash
 
 SHINGLE, SEED, MAX_BITS, PAIR_LIMIT, CHUNK = 3, 42, 2, 64, 1 << 16
 BLOCKS, ROUNDS, SENT_ROWS = 4, 60, 1 << 18
@@ -63,7 +63,7 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, h, fp) of every row: h hashes the text, fp is a signed long."""
     given = docs.select(F.col("doc_id").cast("bigint"), text_hash().alias("h"), F.col("text").cast("string"))
-    return given.mapInArrow(_fingerprints, "doc_id bigint, h bigint, fp bigint")
+    return by_text(given, _fingerprints, "doc_id bigint, h bigint, fp bigint")
 
 
 def _block(fp, k: int):

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sent, in_remainder, raws, table
+from .common import Sent, by_text, in_remainder, raws, table
 
 SAMPLE, RANK, NEIGHBOURS, ACCEPT, SEED = 4096, 48, 15, 0.7, 7
 WORDS, SHAPES = 3072, 1024
@@ -150,7 +150,7 @@ def fitted(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "q
         return Model(None, None, None, np.zeros(0, np.float32))
     ids = F.broadcast(spark.createDataFrame([(i,) for i in value], "doc_id bigint"))
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(ids, "doc_id")
-    made = texts.mapInArrow(_sparse, "doc_id bigint, at array<int>, n array<float>")
+    made = by_text(texts, _sparse, "doc_id bigint, at array<int>, n array<float>")
     rows = made.groupBy("doc_id").agg(F.min(F.struct("at", "n")).alias("f")).select("doc_id", "f.at", "f.n").toArrow().sort_by("doc_id")
     sizes = pc.list_value_length(rows["at"]).to_numpy()
     counts = np.zeros((len(rows), WORDS + SHAPES), np.float32)
@@ -178,12 +178,12 @@ def scored_batches(sent, text: str = "text", least: float | None = None):
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row."""
     given = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return given.mapInArrow(scored_batches(Sent(docs.sparkSession, model)), "doc_id bigint, score double")
+    return by_text(given, scored_batches(Sent(docs.sparkSession, model)), "doc_id bigint, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
     """The rows of ``docs``, all columns, that score ``least`` or more."""
-    return docs.mapInArrow(scored_batches(Sent(docs.sparkSession, model), least=least), docs.schema)
+    return by_text(docs, scored_batches(Sent(docs.sparkSession, model), least=least), docs.schema)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sent, batch, raws, table
+from .common import Sent, batch, by_text, raws, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 MOST_PIECES, MEMO = 1 << 20, 200_000
@@ -141,7 +141,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown of every row."""
     sent = Sent(docs.sparkSession, Automaton(*read_vocabulary(vocabulary)))
     given = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return given.mapInArrow(_counted(sent), "doc_id bigint, n_words bigint, n_tokens bigint, n_unknown bigint")
+    return by_text(given, _counted(sent), "doc_id bigint, n_words bigint, n_tokens bigint, n_unknown bigint")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
