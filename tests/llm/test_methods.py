@@ -77,6 +77,38 @@ def test_an_item_in_every_document_keeps_seeds(spark):
     assert decontaminate.contaminated(docs, bench).count() == 200
 
 
+def test_hits_equal_brute_force_on_documents(spark, documents):
+    """Every item that a full alignment of whole texts finds is found, and no other."""
+    bench = pd.read_parquet(f"{D}/benchmark.parquet")
+    items = decontaminate.Items(list(zip(bench.item_id.tolist(), bench.text.tolist(), strict=True)))
+    some = documents[documents.text.str.len() < 1500].head(60)
+    want = set()
+    for d in some.itertuples():
+        ids = items.number(d.text)
+        for k, i in enumerate(items.ids):
+            item = items.words(k)
+            (value, _), = decontaminate.align([(item, ids)]) if len(ids) else [(0, 0)]
+            if value >= 2 * max(0.5 * len(item), min(8, len(item))):
+                want.add((d.doc_id, i))
+    got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op1_decontaminate"](spark, D).collect()}
+    assert {x for x in got if x[0] in set(some.doc_id)} == want and want and len(got) >= 3
+
+
+def test_equal_places_give_the_first(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(1, f"x y {item} z {item} w")], "doc_id bigint, text string")
+    (r,) = decontaminate.contaminated(docs, spark.createDataFrame([(5, item)], "item_id bigint, text string")).collect()
+    assert (r.start_word, r.end_word, r.score) == (2, 12, 1.0)
+
+
+def test_long_texts_are_read_whole(spark, monkeypatch):
+    items = decontaminate.Items([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")])
+    text = "Lorem ipsum, alpha BETA gamma-delta epsilon zeta eta theta iota kappa! dolor " * 9
+    whole = decontaminate.hits_of(items, [text])
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    assert decontaminate.hits_of(items, [text]) == whole and whole[0]
+
+
 # Line rules.
 def test_repeated_words_against_brute_force():
     rng = np.random.default_rng(2)

@@ -197,7 +197,7 @@ def stretches(items: Items, ids: np.ndarray):
         lo, size = seeds.first[found], seeds.first[found + 1] - seeds.first[found]
         place = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
         met.append((seeds.item[place].astype(np.int64), np.repeat(at, size) - seeds.offset[place]))
-    if not met:
+    if not sum(len(d) for _, d in met):
         return
     both = np.unique(np.concatenate([np.stack(m, 1) for m in met]), axis=0)
     sizes = items.ends[both[:, 0] + 1] - items.ends[both[:, 0]]
