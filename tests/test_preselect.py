@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +83,20 @@ def test_sibling(spark):
     pairs = spark.createDataFrame([(1, 0, 1, 1, 1), (1, 0, 1, 1, 0), (2, 0, 1, 1, 0)], "rf_mmsi bigint, rf_track_id int, rf_signal_id bigint, mmsi bigint, track_id int")
     assert {r.rf_mmsi: r.has_sibling_candidate for r in preselect.sibling_overlap(pairs).collect()} == {1: True, 2: False}
     assert preselect.is_true() is not None and F is not None
+
+
+def test_tracks_of_any_length_touch_few_cells(spark):
+    rng = random.Random(5)
+    points, rf = [], []
+    for m in range(150):
+        span, days = rng.choice([0.01, 1.0, 9.0, 80.0]), rng.choice([1 / 1440, 0.3, 9, 60])
+        lat, lon, t = rng.uniform(-60, 60 - span / 2), rng.uniform(-170, 60), rng.uniform(0, 1e6)
+        points += [(m, 0, t + k * days * 21600, k, lat + k * span / 8, lon + k * span / 4) for k in range(5)]
+    for i in range(3000):
+        m, _, t, _, lat, lon = rng.choice(points)
+        rf.append((i, 0, 1, t + rng.uniform(-900, 900), lat + rng.uniform(-0.2, 0.2), lon + rng.uniform(-0.2, 0.2)))
+    meta = preselect.track_meta(spark.createDataFrame(points, "mmsi long, track_id int, t double, seq long, lat double, lon double"))
+    detections = spark.createDataFrame(rf, "rf_mmsi long, rf_track_id int, rf_signal_id long, t double, lat double, lon double")
+    assert preselect.laid_over(meta).groupBy("mmsi", "track_id").count().agg({"count": "max"}).first()[0] <= 64
+    a, b = (sorted(map(tuple, f(detections, meta).collect())) for f in (preselect.box_pairs, preselect.box_pairs_nested))
+    assert a == b and len(a) > 3000

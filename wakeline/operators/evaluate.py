@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wakeline.functions import stats
+from wakeline.functions import draw, stats
 from wakeline.operators import rank
 from wakeline.schema import PAIR, RF, TRACK
 
+SPLIT_SEED = 100
 ALPHAS = [round(0.7 + k / 100, 2) for k in range(61)]
 
 
@@ -30,9 +31,8 @@ def permutation_split(keys: DataFrame, columns: list[str], share: float, seed: i
 
 
 def hash_split(keys: DataFrame, columns: list[str], share: float, seed: int) -> DataFrame:
-    """The same by a hash of the key: no driver list, sizes are near the share."""
-    u = F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 11).cast("double") / float(1 << 53)
-    return keys.select(*columns).distinct().withColumn("part", (u >= share).cast("int"))
+    """The same by md5 of the key: no driver list, sizes are near the share, and SQL can repeat it."""
+    return keys.select(*columns).distinct().withColumn("part", (draw.uniform(*columns, seed=seed) >= share).cast("int"))
 
 
 def corrected(scores: DataFrame, sizes: DataFrame, alpha) -> DataFrame:
@@ -45,17 +45,14 @@ def corrected(scores: DataFrame, sizes: DataFrame, alpha) -> DataFrame:
 def alpha_search(scores: DataFrame, sizes: DataFrame, alphas: list[float] = ALPHAS) -> DataFrame:
     """Precision of each alpha, four decimals, in one pass: (model, alpha, precision).
 
-    Each alpha is one aggregate of a detection's candidates, so neither rows
-    nor the shuffle grow with the grid.
+    The few candidates of a detection are gathered once; every alpha then picks
+    among them in place, so the shuffle does not grow with the grid.
     """
-    sized = scores.join(sizes.select(*TRACK, F.col("n_points").alias("_n")), TRACK, "left").select(*rank.KEYS, *TRACK, "is_true_match", "oriented", "_n")
-    value = lambda a: F.round(F.col("oriented") / F.pow(F.col("_n"), F.lit(a)), 9)
-    tops = [F.max(F.struct(value(a).alias("v"), *((-F.col(c)).alias(c) for c in TRACK), "is_true_match")).alias(f"_{k}") for k, a in enumerate(alphas)]
-    best = sized.repartition(*rank.KEYS).groupBy(*rank.KEYS).agg(*tops)
-    hits = best.select("model", *(F.col(f"_{k}.is_true_match").cast("double").alias(f"_{k}") for k in range(len(alphas))))
-    shares = hits.groupBy("model").agg(*(F.avg(f"_{k}").alias(f"_{k}") for k in range(len(alphas))))
-    each = F.inline(F.array(*(F.struct(F.lit(a).alias("alpha"), F.round(f"_{k}", 4).alias("precision")) for k, a in enumerate(alphas))))
-    return shares.select("model", each)
+    sized = scores.join(sizes.select(*TRACK, F.col("n_points").alias("_n")), TRACK, "left")
+    few = sized.groupBy(*rank.KEYS).agg(F.collect_list(F.struct("oriented", "_n", *TRACK, "is_true_match")).alias("c"))
+    pick = lambda a: F.array_max(F.transform("c", lambda x: F.struct(F.round(x["oriented"] / F.pow(x["_n"], a), 9).alias("v"), *((-x[k]).alias(k) for k in TRACK), x["is_true_match"].alias("hit"))))["hit"]
+    hits = few.select("model", F.explode(F.transform(F.array(*map(F.lit, alphas)), lambda a: F.struct(a.alias("alpha"), pick(a).cast("double").alias("hit")))).alias("h"))
+    return hits.groupBy("model", F.col("h.alpha").alias("alpha")).agg(F.round(F.avg("h.hit"), 4).alias("precision"))
 
 
 def best_alpha(searched: DataFrame) -> DataFrame:
@@ -63,6 +60,42 @@ def best_alpha(searched: DataFrame) -> DataFrame:
     return searched.groupBy("model").agg(F.max_by("alpha", F.struct("precision", -F.col("alpha"))).alias("alpha"), F.max("precision").alias("precision"))
 
 
+def held_out(scores: DataFrame, share: float = 0.2, seed: int = SPLIT_SEED) -> DataFrame:
+    """(RF key, part) of detections with several candidates: part 0 tunes, part 1 evaluates."""
+    return hash_split(rank.several(scores, RF), RF, share, seed)
+
+
+def tuned_alpha(raw: DataFrame, sizes: DataFrame, split: DataFrame, alphas: list[float] = ALPHAS) -> DataFrame:
+    """(model, alpha, precision): the best alpha on the tuning part, searched at once; one row a model."""
+    best = best_alpha(alpha_search(raw.join(split.where("part = 0"), RF, "left_semi"), sizes, alphas))
+    return raw.sparkSession.createDataFrame(best.collect(), best.schema)
+
+
+def evaluation_population(scores: DataFrame, split: DataFrame) -> DataFrame:
+    """All candidates without the detections that alpha was tuned on; those with one candidate stay."""
+    return scores.join(split.where("part = 0"), RF, "left_anti")
+
+
+def corrected_results(raw: DataFrame, sizes: DataFrame, split: DataFrame, best: DataFrame) -> DataFrame:
+    """The evaluation population with every model's scores over n_points to its alpha, as model ``<name>_corrected``.
+
+    Detections with one candidate keep it whatever its score.
+    """
+    sent = F.broadcast(best.select("model", F.col("alpha").alias("_alpha")))  # one row a model
+    x = evaluation_population(raw, split).join(sent, "model")
+    return corrected(x, sizes, F.col("_alpha")).drop("_alpha").withColumn("model", F.concat("model", F.lit("_corrected")))
+
+
+def correction_variants(raw: DataFrame, sizes: DataFrame, best: DataFrame) -> DataFrame:
+    """Scores of four variants with their ``alpha``: Forward over n, Forward and log-odds over n to the tuned alpha, and log-odds as it is (alpha NULL)."""
+    kept = raw.drop("alpha")
+    fixed = corrected(kept.where("model = 'forward_score'"), sizes, 1.0).withColumns({"model": F.lit("forward_alpha_1"), "alpha": F.lit(1.0)})
+    plain = kept.where("model = 'log_odds_score'").withColumns({"model": F.lit("log_odds_raw"), "alpha": F.lit(None).cast("double")})
+    tuned = corrected(kept.join(F.broadcast(best.select("model", "alpha")), "model"), sizes, F.col("alpha"))
+    tuned = tuned.withColumn("model", F.when(F.col("model") == "forward_score", "forward_tuned").otherwise("log_odds_tuned"))
+    return fixed.unionByName(plain).unionByName(tuned)
+
+
 def shared_population(scores: DataFrame) -> DataFrame:
     """Pairs that every model scored, so models are compared on the same detections."""
     models = scores.select("model").distinct().count()
@@ -90,6 +123,14 @@ def mcnemar_counts(summaries: DataFrame) -> DataFrame:
     return hits.select(each).groupBy("model_a", "model_b").agg(F.count_if(F.col("a") & ~F.col("b")).alias("n10"), F.count_if(~F.col("a") & F.col("b")).alias("n01"))
 
 
+def mcnemar_statistics(summaries: DataFrame, exact_below: int = 25) -> DataFrame:
+    """The counts with method and statistic: the smaller count where a binomial test is exact, else chi-square with continuity correction."""
+    n10, n01 = F.col("n10"), F.col("n01")
+    exact = n10 + n01 < exact_below
+    chi2 = F.pow(F.abs(n10 - n01) - 1, F.lit(2)) / (n10 + n01)
+    return mcnemar_counts(summaries).withColumns({"method": F.when(exact, "exact").otherwise("chi2"), "statistic": F.when(exact, F.least(n10, n01).cast("double")).otherwise(chi2)})
+
+
 def mcnemar_table(summaries: DataFrame) -> DataFrame:
     """The counts with statistic, p_value and method."""
     rows = [(r.model_a, r.model_b, *stats.mcnemar(r.n10, r.n01).values()) for r in mcnemar_counts(summaries).orderBy("model_a", "model_b").collect()]
@@ -102,7 +143,7 @@ def bootstrap(summaries: DataFrame, value: str, repeats: int = 1000, ci: float =
     Resampling n rows with replacement gives each row a nearly Poisson count,
     so each row draws its counts by hash and sums are taken on the map side.
     """
-    u = (F.shiftrightunsigned(F.xxhash64("model", *RF, "b", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    u = draw.uniform("model", *RF, "b", seed=seed)
     drawn, term, total = F.lit(0), 0.36787944117144233, 0.0
     for k in range(1, 12):
         total += term

@@ -47,7 +47,8 @@ def dark_vessel_frame(scores: DataFrame, split: DataFrame) -> DataFrame:
 
 def leave_one_out_frame(scores: DataFrame, detections: DataFrame) -> DataFrame:
     """Positives: all candidates. Negatives: the same without the true track, whose scores need no second run."""
-    universe = detections.select(*RF).join(scores.select("model").distinct())
+    names = sorted(r.model for r in scores.select("model").distinct().collect())
+    universe = detections.select(F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("model"), *RF)
     return _frame(universe, scores.withColumn("label", F.explode(F.when(F.col("is_true_match"), F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(0))))))
 
 

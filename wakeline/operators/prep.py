@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.functions import geo, prob
+from wakeline.functions import draw, geo, prob
 from wakeline.schema import TRACK
 
 EXACT_LIMIT, BINS = 1_000_000, 4096
@@ -163,5 +163,5 @@ def sampling_weight(log_density: Column, power: float = 0.25) -> Column:
 
 def weighted_sample(tracks: DataFrame, n: int, weight: str = "sampling_weight", keys: list[str] = TRACK, seed: int = 42) -> DataFrame:
     """n rows without replacement with chances by weight: the smallest of -ln(u) / weight, u a hash of the key."""
-    u = (F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    u = draw.uniform(*keys, seed=seed)
     return tracks.withColumn("_k", -F.log(u) / F.col(weight)).orderBy("_k", *keys).limit(n).drop("_k")

@@ -54,19 +54,39 @@ def _inside(margin: float):
     return (F.col("t") >= F.col("min_t") - margin) & (F.col("t") <= F.col("max_t") + margin) & F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
 
 
+def _level(span, size: float):
+    """The coarser grid, four times as wide with each level, on which a span of this length touches at most three cells."""
+    return F.ceil(F.log2(F.greatest(span / (2 * size), F.lit(1.0))) / 2).cast("int")
+
+
+def laid_over(meta: DataFrame, margin: float = MARGIN_SECONDS, cell: float = CELL_DEGREES, slot: float = CELL_SECONDS) -> DataFrame:
+    """Tracks with the cells that their time range and box touch: at most 27 each, however long the track is.
+
+    A cell is (level in time, level in space, slot, row, column).
+    """
+    wide = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
+    t = meta.select(*TRACK, "min_t", "max_t", "south", "north", "west", "east", _level(F.col("max_t") - F.col("min_t") + 2 * margin, slot).alias("_a"), _level(wide, cell).alias("_b"))
+    over = lambda lo, hi, step: F.explode(F.sequence(F.floor(lo / step), F.floor(hi / step)))
+    time, space = slot * F.pow(F.lit(4.0), F.col("_a")), cell * F.pow(F.lit(4.0), F.col("_b"))
+    t = t.withColumn("_s", over(F.col("min_t") - margin, F.col("max_t") + margin, time))
+    return t.withColumn("_y", over(F.col("south"), F.col("north"), space)).withColumn("_x", over(F.col("west"), F.col("east"), space))
+
+
 def box_pairs(detections: DataFrame, meta: DataFrame, margin: float = MARGIN_SECONDS, cell: float = CELL_DEGREES, slot: float = CELL_SECONDS) -> DataFrame:
     """Detections with the tracks whose time range and box hold them.
 
-    A range join as a hash join: the track side is laid over the cells of a
-    space-time grid that it touches, a detection lies in one cell, and the
-    exact condition follows. A detection meets a track in one cell only, so
-    nothing has to be made distinct.
+    A range join as a hash join: each track is laid over a space-time grid as
+    coarse as it is long, a detection lies in one cell of each grid in use, and
+    the exact condition follows. A detection meets a track in one cell only, so
+    nothing has to be made distinct. The grids in use, a few dozen at most, come
+    to the driver first. Hot cells, such as ports, are left to Spark's skew join.
     """
-    over = lambda lo, hi, step: F.explode(F.sequence(F.floor(lo / step), F.floor(hi / step)))
-    tracks = meta.select(*TRACK, "min_t", "max_t", "south", "north", "west", "east", over(F.col("min_t") - margin, F.col("max_t") + margin, slot).alias("_s"))
-    tracks = tracks.withColumn("_y", over(F.col("south"), F.col("north"), cell)).withColumn("_x", over(F.col("west"), F.col("east"), cell))
-    rf = detections.withColumns({"_s": F.floor(F.col("t") / slot), "_y": F.floor(F.col("lat") / cell), "_x": F.floor(F.col("lon") / cell)})
-    return rf.join(tracks, ["_s", "_y", "_x"]).where(_inside(margin)).select(*RF, F.col("t").alias("rf_t"), F.col("lat").alias("rf_lat"), F.col("lon").alias("rf_lon"), *TRACK)
+    tracks = laid_over(meta, margin, cell, slot)
+    used = sorted((r._a, r._b) for r in tracks.select("_a", "_b").distinct().collect()) or [(0, 0)]
+    rf = detections.withColumn("_g", F.explode(F.array(*(F.struct(F.lit(a).alias("_a"), F.lit(b).alias("_b")) for a, b in used)))).select("*", "_g._a", "_g._b").drop("_g")
+    time, space = slot * F.pow(F.lit(4.0), F.col("_a")), cell * F.pow(F.lit(4.0), F.col("_b"))
+    rf = rf.withColumns({"_s": F.floor(F.col("t") / time), "_y": F.floor(F.col("lat") / space), "_x": F.floor(F.col("lon") / space)})
+    return rf.join(tracks, ["_a", "_b", "_s", "_y", "_x"]).where(_inside(margin)).select(*RF, F.col("t").alias("rf_t"), F.col("lat").alias("rf_lat"), F.col("lon").alias("rf_lon"), *TRACK)
 
 
 def box_pairs_nested(detections: DataFrame, meta: DataFrame, margin: float = MARGIN_SECONDS) -> DataFrame:
@@ -112,6 +132,11 @@ def prefilter_recall(detections: DataFrame, points: DataFrame, km: float = KM, w
     return detections.select(*RF).join(passed, RF, "left").withColumn("passed_prefilter", F.coalesce("passed_prefilter", F.lit(False)))
 
 
+def prefilter_rate(recall: DataFrame) -> DataFrame:
+    """The share of detections whose own track passes the filters."""
+    return recall.agg(F.count("*").alias("n_signals"), F.avg(F.col("passed_prefilter").cast("double")).alias("recall"))
+
+
 def sibling_overlap(pairs: DataFrame) -> DataFrame:
     """Each detection and whether another track of its own vessel is a candidate."""
     sibling = (F.col("rf_mmsi") == F.col("mmsi")) & (F.col("rf_track_id") != F.col("track_id"))

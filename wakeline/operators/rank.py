@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakeline.functions import draw
 from wakeline.schema import RF, TRACK
 
 KEYS = ["model", *RF]
@@ -92,5 +93,5 @@ def random_floor(scores: DataFrame, keys: list[str] = RF) -> DataFrame:
 def random_picks(scores: DataFrame, repeats: int = 200, seed: int = 42, keys: list[str] = RF) -> DataFrame:
     """Precision of ``repeats`` uniform picks: repeat, precision. A pick is the candidate with the smallest hash."""
     draws = scores.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    pick = draws.groupBy("repeat", *keys).agg(F.min_by("is_true_match", F.xxhash64("repeat", *keys, *TRACK, F.lit(seed))).alias("hit"))
+    pick = draws.groupBy("repeat", *keys).agg(F.min_by("is_true_match", draw.uniform("repeat", *keys, *TRACK, seed=seed)).alias("hit"))
     return pick.groupBy("repeat").agg(F.avg(F.col("hit").cast("double")).alias("precision"))

@@ -8,17 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo, prob
+from wakeline.functions.draw import uniform
 from wakeline.operators.preselect import nearest_fix
 from wakeline.schema import TRACK
 
 DAY = 86400
 
 
-def uniform(*parts: Column | str, seed: int) -> Column:
-    """In (0, 1), by a hash of the parts."""
-    return (F.shiftrightunsigned(F.xxhash64(*parts, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-
-
 def normal(*parts: Column | str, seed: int) -> Column:
     return F.sqrt(-2 * F.log(uniform(*parts, F.lit("r"), seed=seed))) * F.cos(2 * math.pi * uniform(*parts, F.lit("a"), seed=seed))
 
@@ -56,15 +52,16 @@ def uniform_error(heading: Column, *key: Column | str, mean: float = 2000.0, dev
 
 
 def training_data(points: DataFrame, model: str = "gaussian", margin: float = 300.0, seed: int = 42, day: float = DAY) -> DataFrame:
-    """Labelled sequences: track key, t, ais and rf (structs of lat, lon), state in begin, AIS, RF, M, end.
+    """Labelled sequences: track key, t, ais_t, rf_t, ais and rf (structs of lat, lon), state in begin, AIS, RF, M, end.
 
     Each overpass gives a detection off the fix nearest in time. It is M where
-    the match is likelier than a transition and RF otherwise; M rows take
-    their AIS point with them, all other points are AIS rows.
+    the match is likelier than a transition and RF otherwise. An M row stands at
+    the time of its fix and takes that one point with it; all other points are
+    AIS rows. begin and end lie a second outside all fixes and overpasses.
     """
     key = F.struct(*TRACK).alias("_track")
     at = overpasses(points, revisit_times(points.sparkSession, seed), margin, day).withColumn("_track", key)
-    near = nearest_fix(at, points.withColumn("_track", key), "_track", "_track", ["lat", "lon", "heading"]).where("fix_t is not null")
+    near = nearest_fix(at, points.withColumn("_track", key).withColumn("no", F.col("seq")), "_track", "_track", ["lat", "lon", "heading", "no"]).where("fix_t is not null")
     draw = ("mmsi", "track_id", "t")
     metres, bearing = gaussian_error(*draw, seed=seed) if model == "gaussian" else uniform_error(F.coalesce("fix_heading", F.lit(0.0)), *draw, seed=seed)
     lat, lon = geo.destination(F.col("fix_lat"), F.col("fix_lon"), bearing, metres)
@@ -73,11 +70,14 @@ def training_data(points: DataFrame, model: str = "gaussian", margin: float = 30
     km, apart = geo.haversine(F.col("fix_lat"), F.col("fix_lon"), F.col("_lat"), F.col("_lon")), F.abs(F.col("t") - F.col("fix_t"))
     rf = rf.select("*", F.inline(F.array(F.struct(km.alias("_km"), apart.alias("_apart")))))
     matched = prob.match(F.col("_apart"), F.col("_km")) > prob.transition(F.col("_apart"), F.col("_km"))
-    rf = rf.select(*TRACK, "t", "fix_t", F.when(matched, F.struct(F.col("fix_lat").alias("lat"), F.col("fix_lon").alias("lon"))).alias("ais"), F.struct(F.col("_lat").alias("lat"), F.col("_lon").alias("lon")).alias("rf"), F.when(matched, "M").otherwise("RF").alias("state"))
-    nothing = F.lit(None).cast("struct<lat:double,lon:double>")
-    used = rf.where("state = 'M'").select(*TRACK, F.col("fix_t").alias("t")).distinct()
-    alone = points.join(used, [*TRACK, "t"], "left_anti").select(*TRACK, "t", F.struct("lat", "lon").alias("ais"), nothing.alias("rf"), F.lit("AIS").alias("state"))
-    body = rf.drop("fix_t").unionByName(alone)
-    ends = body.groupBy(*TRACK).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    at_fix = F.col("state") == "M"
+    rf = rf.withColumn("state", F.when(matched, "M").otherwise("RF"))
+    rf = rf.select(*TRACK, F.when(at_fix, F.col("fix_t")).otherwise(F.col("t")).alias("t"), F.when(at_fix, F.col("fix_t")).alias("ais_t"), F.col("t").alias("rf_t"), F.when(at_fix, F.struct(F.col("fix_lat").alias("lat"), F.col("fix_lon").alias("lon"))).alias("ais"), F.struct(F.col("_lat").alias("lat"), F.col("_lon").alias("lon")).alias("rf"), "state", "fix_no")
+    nothing, never = F.lit(None).cast("struct<lat:double,lon:double>"), F.lit(None).cast("double")
+    used = rf.where("state = 'M'").select(*TRACK, F.col("ais_t").alias("t"), F.col("fix_no").alias("seq")).distinct()
+    alone = points.join(used, [*TRACK, "t", "seq"], "left_anti").select(*TRACK, "t", F.col("t").alias("ais_t"), never.alias("rf_t"), F.struct("lat", "lon").alias("ais"), nothing.alias("rf"), F.lit("AIS").alias("state"))
+    body = rf.drop("fix_no").unionByName(alone)
+    # Every fix is in the body: as a row of its own, or as the ais_t of a match.
+    ends = body.groupBy(*TRACK).agg(F.least(F.min("ais_t"), F.min("rf_t")).alias("lo"), F.greatest(F.max("ais_t"), F.max("rf_t")).alias("hi"))
     marks = ends.select(*TRACK, F.inline(F.array(F.struct((F.col("lo") - 1).alias("t"), F.lit("begin").alias("state")), F.struct((F.col("hi") + 1).alias("t"), F.lit("end").alias("state")))))
-    return body.unionByName(marks.select(*TRACK, "t", nothing.alias("ais"), nothing.alias("rf"), "state"))
+    return body.unionByName(marks.select(*TRACK, "t", never.alias("ais_t"), never.alias("rf_t"), nothing.alias("ais"), nothing.alias("rf"), "state"))

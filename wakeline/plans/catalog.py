@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo, prob
+from wakeline.functions.draw import uniform_sql
 from wakeline.operators import bias, evaluate, openset, prep, preselect, rank, score_nn, score_phmm, simulate
 from wakeline.plans import fixture
 from wakeline.plans.fixture import ctes, hav, match, transition
@@ -139,13 +140,14 @@ SUMMARY = (
 SUMMARY2 = ("summary", "SELECT *, coalesce(1e0 / rank_of_true, 0e0) AS reciprocal_rank, coalesce(rank_of_true <= 1, false) AS hit_1, coalesce(rank_of_true <= 3, false) AS hit_3, coalesce(rank_of_true <= 5, false) AS hit_5 FROM summaries")
 
 
-def ranking_sql(body: str, *more: tuple[str, str], models: dict[str, str] = NN, kappa: tuple[float, float] = score_phmm.KAPPA) -> str:
+def ranking_sql(body: str, *more: tuple[str, str], models: dict[str, str] = NN, kappa: tuple[float, float] = score_phmm.KAPPA, long: list[tuple[str, str]] | None = None) -> str:
+    """``long``: the CTEs that end in the table of scores, where it isn't the plain one of the models."""
     shared = [LEGS, ONLEG, BYPOINT, BYLEG]
     wide = "SELECT b.*, l.nn_segment, l.nn_time_weighted FROM bypoint b JOIN byleg l USING (" + _PAIR + ")"
     if len(models) > len(NN):
         shared += phmm_ctes(*kappa)
-        wide = f"SELECT b.*, l.nn_segment, l.nn_time_weighted, p.forward_score / p.n_points AS normalized_forward_score, round(p.forward_score - p.null_forward_score, 6) AS log_odds_score FROM bypoint b JOIN byleg l USING ({_PAIR}) JOIN phmm p USING ({_PAIR})"
-    return with_ctes(body, *shared, ("wide", wide), _long_cte(models, "wide"), RANKED, SUMMARY, SUMMARY2, *more, divisor=FINE, km=KM, window=WINDOW)
+        wide = f"SELECT b.*, l.nn_segment, l.nn_time_weighted, p.forward_score, p.forward_score / p.n_points AS normalized_forward_score, round(p.forward_score - p.null_forward_score, 6) AS log_odds_score FROM bypoint b JOIN byleg l USING ({_PAIR}) JOIN phmm p USING ({_PAIR})"
+    return with_ctes(body, *shared, ("wide", wide), *(long or [_long_cte(models, "wide")]), RANKED, SUMMARY, SUMMARY2, *more, divisor=FINE, km=KM, window=WINDOW)
 
 
 def pair_sql(body: str, *more: tuple[str, str], divisor: int = 128) -> str:
@@ -229,6 +231,13 @@ def preselect_candidates(spark, d):
     return pairs_of(spark, d)[2].select(*PAIR, "is_true_match")
 
 
+@query(with_ctes(f"SELECT {_PAIR}, is_true_match FROM cand"))
+def preselect_candidates_full(spark, d):
+    """The operator's own settings: 6 km and 3 hours."""
+    points, rf = traffic(spark, d)
+    return preselect.candidates(rf, points).select(*PAIR, "is_true_match")
+
+
 @query(pair_sql(f"SELECT {_PAIR} FROM near WHERE NOT (rf_mmsi = mmsi AND rf_track_id = track_id)"))
 def preselect_leave_one_out(spark, d):
     points, rf = traffic(spark, d)
@@ -241,6 +250,12 @@ def prefilter_recall(spark, d):
     return preselect.prefilter_recall(rf, points, KM, WINDOW)
 
 
+@query(pair_sql("SELECT count(*) AS n_signals, round(avg(((rf_mmsi, rf_track_id, rf_signal_id) IN (SELECT (rf_mmsi, rf_track_id, rf_signal_id) FROM near WHERE rf_mmsi = mmsi AND rf_track_id = track_id))::INT), 6) AS recall FROM rf"))
+def prefilter_recall_rate(spark, d):
+    points, rf = traffic(spark, d)
+    return rounded(preselect.prefilter_rate(preselect.prefilter_recall(rf, points, KM, WINDOW)))
+
+
 @query(pair_sql(f"SELECT {_RF}, bool_or(rf_mmsi = mmsi AND rf_track_id <> track_id) AS has_sibling_candidate FROM cand GROUP BY ALL"))
 def sibling_overlap(spark, d):
     return preselect.sibling_overlap(pairs_of(spark, d)[2])
@@ -297,6 +312,14 @@ def probability_surface_grid(spark, d):
     return rounded(g.select("i", "j", prob.transition(i * 1102.0 / 49, j * 14.0 / 49).alias("p_transition"), prob.match(i * 120.0 / 49, j * 2.0 / 49).alias("p_match")))
 
 
+@query(f"SELECT i, j, round({transition('(i - 50) * 1102e0 / 50', 'j * 14e0 / 99')}, 6) AS p_transition, round({match('abs(i - 50) * 120e0 / 50', 'j * 2e0 / 99')}, 6) AS p_match FROM range(0, 100) a(i), range(0, 100) b(j)")
+def probability_surface_signed(spark, d):
+    """100 x 100, with times before and after the fix."""
+    g = spark.range(100).withColumnRenamed("id", "i").withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(99).cast("bigint"))))
+    i, j = F.col("i") - 50, F.col("j")
+    return rounded(g.select("i", "j", prob.transition(i * 1102.0 / 50, j * 14.0 / 99).alias("p_transition"), prob.match(F.abs(i) * 120.0 / 50, j * 2.0 / 99).alias("p_match")))
+
+
 _B, _A = "radians(CAST(seq % 360 AS DOUBLE))", "(seq % 5000) / 6371000e0"
 _LAT2 = f"asin(sin(radians(lat)) * cos({_A}) + cos(radians(lat)) * sin({_A}) * cos({_B}))"
 
@@ -322,11 +345,23 @@ def kde_log_density(spark, d):
     return rounded(prep.kde_log_density(prep.track_characteristics(traffic(spark, d)[0]), TRACK), 4)
 
 
-@query()
+_Z = ("z", "SELECT mmsi, track_id, " + ", ".join(f"({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () AS z{k}" for k, f in enumerate(_F)) + " FROM characters")
+_DENSITY = ("density", "SELECT a.mmsi, a.track_id, ln(sum(exp(-(" + " + ".join(f"pow(a.z{k} - b.z{k}, 2)" for k in range(6)) + ") / 0.5e0))) - ln(count(*)) - 6 * ln(0.5e0) - 3 * ln(2 * pi()) AS log_density FROM z a, z b GROUP BY a.mmsi, a.track_id")
+
+
+@query(with_ctes(f"SELECT mmsi, track_id, round(log_density, 4) AS log_density, round(exp(-log_density * 0.25e0), 2) AS sampling_weight FROM density ORDER BY -ln({uniform_sql('mmsi', 'track_id', seed=42)}) / exp(-log_density * 0.25e0), mmsi, track_id LIMIT 100", CHARACTER, _Z, _DENSITY))
 def weighted_track_sample(spark, d):
     tracks = prep.track_characteristics(traffic(spark, d)[0])
     density = prep.kde_log_density(tracks, TRACK).withColumn("sampling_weight", prep.sampling_weight(F.col("log_density")))
-    return prep.weighted_sample(density, 100)
+    return rounded(prep.weighted_sample(density, 100), 4, sampling_weight=2)
+
+
+@query(with_ctes(f"SELECT mmsi, track_id, seq, round(lat, 6) AS lat, round(lon, 6) AS lon FROM tracks JOIN (SELECT mmsi, track_id FROM density ORDER BY -ln({uniform_sql('mmsi', 'track_id', seed=42)}) / exp(-log_density * 0.25e0), mmsi, track_id LIMIT 100) USING (mmsi, track_id)", CHARACTER, _Z, _DENSITY))
+def sampled_points(spark, d):
+    """All points of the sampled tracks."""
+    points = traffic(spark, d)[0]
+    density = prep.kde_log_density(prep.track_characteristics(points), TRACK).withColumn("sampling_weight", prep.sampling_weight(F.col("log_density")))
+    return rounded(points.join(prep.weighted_sample(density, 100).select(*TRACK), TRACK, "left_semi").select(*TRACK, "seq", "lat", "lon"))
 
 
 # 2.9: pair HMM.
@@ -436,20 +471,102 @@ def alpha_best(spark, d):
     return evaluate.best_alpha(evaluate.alpha_search(_log_odds(spark, d), sizes(spark, d)))
 
 
-@query(ranking_sql(f"SELECT *, {_METRICS} FROM (SELECT model, {_COUNTS} FROM (SELECT model, is_true_match, row_number() OVER (PARTITION BY {_RF} ORDER BY round(oriented / pow(n_points, 0.9e0), 9) DESC, mmsi, track_id) AS rnk FROM long JOIN sizes USING (mmsi, track_id) WHERE model = 'normalized_forward_score') GROUP BY model)", _SIZES, models=MODELS))
+RAW = {"forward_score": "max", "log_odds_score": "max"}
+_RAW = ("rawlong", _long_cte(RAW, "wide")[1])
+_PARTS = ("parts", f"SELECT {_RF}, CASE WHEN {uniform_sql(*RF, seed=evaluate.SPLIT_SEED)} >= 0.2e0 THEN 1 ELSE 0 END AS part FROM cand GROUP BY {_RF} HAVING count(*) > 1")
+_TGRID = ("tgrid", f"SELECT r.*, a.alpha, round(oriented / pow(n_points, a.alpha), 9) AS o FROM rawlong r JOIN sizes USING (mmsi, track_id) JOIN parts USING ({_RF}), (SELECT (70 + k) / 100e0 AS alpha FROM range(0, 61) g(k)) a WHERE part = 0")
+_TSEARCH = ("tsearch", f"SELECT model, alpha, round(avg(is_true_match::INT), 4) AS precision FROM (SELECT * FROM tgrid QUALIFY row_number() OVER (PARTITION BY model, {_RF}, alpha ORDER BY o DESC, mmsi, track_id) = 1) GROUP BY ALL")
+_BEST = ("best", "SELECT * FROM tsearch QUALIFY row_number() OVER (PARTITION BY model ORDER BY precision DESC, alpha) = 1")
+TUNED = [_RAW, _SIZES, _PARTS, _TGRID, _TSEARCH, _BEST]
+_EVAL = f"({_RF}) NOT IN (SELECT ({_RF}) FROM parts WHERE part = 0)"
+_CORRECTED = f"SELECT model || '_corrected' AS model, {_RF}, mmsi, track_id, is_true_match, round(score / pow(n_points, alpha), 9) AS score, round(oriented / pow(n_points, alpha), 9) AS oriented FROM rawlong JOIN best USING (model) JOIN sizes USING (mmsi, track_id) WHERE {_EVAL}"
+_VARIANT = "SELECT '{}' AS model, " + _RF + ", mmsi, track_id, is_true_match, {} AS score, {} AS oriented, {} AS alpha FROM rawlong JOIN best USING (model) JOIN sizes USING (mmsi, track_id) WHERE model = '{}'"
+_VARIANTS = " UNION ALL ".join(
+    _VARIANT.format(name, *(f"round({c} / pow(n_points, {a}), 9)" if a != "NULL" else c for c in ("score", "oriented")), a, model)
+    for name, a, model in (("forward_alpha_1", "1e0", "forward_score"), ("log_odds_raw", "NULL", "log_odds_score"), ("forward_tuned", "alpha", "forward_score"), ("log_odds_tuned", "alpha", "log_odds_score"))
+)
+
+
+def raw_long(spark, d, kappa=score_phmm.KAPPA) -> DataFrame:
+    """Forward and log-odds scores before any correction."""
+    points, _, pairs = pairs_of(spark, d, FINE)
+    if kappa == score_phmm.KAPPA:
+        s = kept(spark, d, "score", "phmm", make=lambda: score_phmm.scores(pairs, points))
+    else:
+        s = score_phmm.scores(pairs, points, kappa)
+    return kept(spark, d, "raw", kappa, make=lambda: rank.long_scores(pairs.join(s.drop("n_points"), PAIR), RAW))
+
+
+def tuned(spark, d, kappa=score_phmm.KAPPA) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Raw scores, track sizes, the split of detections with several candidates, and the alphas tuned on its first part."""
+    raw, n = raw_long(spark, d, kappa), sizes(spark, d)
+    split = kept(spark, d, "split", make=lambda: evaluate.held_out(pairs_of(spark, d, FINE)[2]))
+    return raw, n, split, kept(spark, d, "best", kappa, make=lambda: evaluate.tuned_alpha(raw, n, split))
+
+
+@query(ranking_sql(f"SELECT *, {_METRICS} FROM (SELECT model, {_COUNTS} FROM (SELECT model, is_true_match, row_number() OVER (PARTITION BY {_RF} ORDER BY round(oriented / pow(n_points, 0.9e0), 9) DESC, mmsi, track_id) AS rnk FROM rawlong JOIN sizes USING (mmsi, track_id) WHERE model = 'forward_score') GROUP BY model)", _SIZES, _RAW, models=MODELS))
 def length_corrected_top1(spark, d):
-    s = scored(spark, d).where("model = 'normalized_forward_score'")
+    s = raw_long(spark, d).where("model = 'forward_score'")
     return evaluate.model_metrics(evaluate.corrected(s, sizes(spark, d), 0.9))
 
 
+@query(ranking_sql("SELECT model, alpha, precision FROM best", models=MODELS, long=[*TUNED, _long_cte(MODELS, "wide")]))
+def alpha_tuned_split(spark, d):
+    """Alpha of each score, tuned on a fifth of the detections with several candidates."""
+    return tuned(spark, d)[3].select("model", "alpha", "precision")
+
+
+@query(pair_sql(f"SELECT CASE WHEN n = 1 THEN 'single' WHEN part = 0 THEN 'tuning' ELSE 'evaluation' END AS population, count(*) AS n_signals, CAST(sum(n) AS BIGINT) AS n_candidates FROM (SELECT {_RF}, count(*) AS n FROM cand GROUP BY {_RF}) LEFT JOIN parts USING ({_RF}) GROUP BY 1", _PARTS, divisor=FINE))
+def corrected_population(spark, d):
+    pairs = pairs_of(spark, d, FINE)[2]
+    per = pairs.groupBy(*RF).agg(F.count("*").alias("n")).join(tuned(spark, d)[2], RF, "left")
+    name = F.when(F.col("n") == 1, "single").when(F.col("part") == 0, "tuning").otherwise("evaluation")
+    return per.groupBy(name.alias("population")).agg(F.count("*").alias("n_signals"), F.sum("n").alias("n_candidates"))
+
+
+_EVAL_LONG = [*TUNED, ("plain", _long_cte(MODELS, "wide")[1]), ("long", f"SELECT * FROM plain WHERE {_EVAL} UNION ALL {_CORRECTED}")]
+
+
+def evaluated(spark, d) -> DataFrame:
+    """Every model's scores and the corrected ones on the detections that alpha was not tuned on."""
+    raw, n, split, best = tuned(spark, d)
+    return evaluate.evaluation_population(scored(spark, d), split).unionByName(evaluate.corrected_results(raw, n, split, best))
+
+
+@query(ranking_sql(f"SELECT *, {_METRICS} FROM (SELECT model, {_COUNTS} FROM ranked GROUP BY model)", models=MODELS, long=_EVAL_LONG))
+def corrected_model_metrics(spark, d):
+    return evaluate.model_metrics(evaluated(spark, d))
+
+
+@query(ranking_sql(f"SELECT model, {_AVG} FROM summary GROUP BY model", models=MODELS, long=_EVAL_LONG))
+def corrected_ranking_metrics(spark, d):
+    return rounded(evaluate.ranking_metrics(rank.summary(evaluated(spark, d))).drop("mean_margin"))
+
+
+_TEST_VARIANTS = [*TUNED, ("variants", _VARIANTS), ("long", f"SELECT * FROM variants WHERE ({_RF}) IN (SELECT ({_RF}) FROM parts WHERE part = 1)")]
+
+
+def evaluation_variants(spark, d, kappa=score_phmm.KAPPA) -> DataFrame:
+    raw, n, split, best = tuned(spark, d, kappa)
+    return evaluate.correction_variants(raw, n, best).join(split.where("part = 1"), RF, "left_semi")
+
+
+@query(ranking_sql(f"SELECT v.*, n_tied FROM (SELECT *, {_METRICS} FROM (SELECT model, any_value(alpha) AS alpha, {_COUNTS} FROM ranked GROUP BY model)) v JOIN (SELECT model, count(*) FILTER (t > 1) AS n_tied FROM (SELECT model, count(*) FILTER (oriented = best) AS t FROM ranked GROUP BY model, {_RF}) GROUP BY model) USING (model)", models=MODELS, long=_TEST_VARIANTS))
+def correction_confusion(spark, d):
+    """Confusion counts, metrics and ties of the four variants on the evaluation part."""
+    v = evaluation_variants(spark, d)
+    alphas = v.groupBy("model").agg(F.first("alpha").alias("alpha"))
+    return evaluate.model_metrics(v.drop("alpha")).join(alphas, "model").join(rank.tied_signals(v.drop("alpha")).select("model", "n_tied"), "model")
+
+
 @query(pair_sql(f"SELECT count(*) AS n_signals, round(avg(t / n), 6) AS expected_precision FROM (SELECT count(*) AS n, count(*) FILTER (is_true_match) AS t FROM cand GROUP BY {_RF})", divisor=FINE))
 def random_floor(spark, d):
     return rank.random_floor(pairs_of(spark, d, FINE)[2])
 
 
-@query()
+@query(pair_sql(f"SELECT repeat, round(avg(hit::INT), 6) AS precision FROM (SELECT repeat, {_RF}, arg_min(is_true_match, {uniform_sql('repeat', *PAIR, seed=42)}) AS hit FROM cand, range(0, 50) g(repeat) GROUP BY ALL) GROUP BY repeat", divisor=FINE))
 def random_pick_precision(spark, d):
-    return rank.random_picks(pairs_of(spark, d, FINE)[2], 50)
+    return rounded(rank.random_picks(pairs_of(spark, d, FINE)[2], 50).withColumn("repeat", F.col("repeat").cast("bigint")))
 
 
 _MC = ("mc", f"SELECT a.model AS model_a, b.model AS model_b, count(*) FILTER (a.hit_1 AND NOT b.hit_1) AS n10, count(*) FILTER (NOT a.hit_1 AND b.hit_1) AS n01 FROM summary a JOIN summary b USING ({_RF}) WHERE a.model < b.model GROUP BY ALL")
@@ -465,9 +582,26 @@ def mcnemar_test(spark, d):
     return evaluate.mcnemar_table(rank.summary(scored(spark, d)))
 
 
-@query()
+@query(ranking_sql("SELECT *, CASE WHEN n10 + n01 < 25 THEN 'exact' ELSE 'chi2' END AS method, round(CASE WHEN n10 + n01 < 25 THEN least(n10, n01)::DOUBLE ELSE pow(abs(n10 - n01) - 1, 2) / (n10 + n01) END, 6) AS statistic FROM mc", _MC, models=MODELS))
+def mcnemar_statistics(spark, d):
+    return rounded(evaluate.mcnemar_statistics(rank.summary(scored(spark, d))))
+
+
+def _poisson_sql(u: str) -> str:
+    term, total, steps = 0.36787944117144233, 0.0, []
+    for k in range(1, 12):
+        total += term
+        term /= k
+        steps.append(f"({u} > {total!r}e0)::INT")
+    return " + ".join(steps)
+
+
+_DRAWS = ("draws", f"SELECT model, b, {_poisson_sql('u')} AS c, reciprocal_rank AS v FROM (SELECT *, {uniform_sql('model', *RF, 'b', seed=42)} AS u FROM summary, range(1, 201) g(b))")
+
+
+@query(ranking_sql("SELECT model, round(estimate, 6) AS estimate, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM (SELECT model, b, sum(c * v) / sum(c) AS m FROM draws GROUP BY ALL) JOIN (SELECT model, avg(reciprocal_rank) AS estimate FROM summary GROUP BY model) USING (model) GROUP BY ALL", _DRAWS))
 def bootstrap_ci(spark, d):
-    return evaluate.bootstrap(rank.summary(scored(spark, d, NN)), "reciprocal_rank", 200)
+    return rounded(evaluate.bootstrap(rank.summary(scored(spark, d, NN)), "reciprocal_rank", 200))
 
 
 @query(ranking_sql("SELECT count(DISTINCT model) AS n_models, count(*) AS n_rows FROM long", models=MODELS))
@@ -569,11 +703,20 @@ def welch_moments(spark, d):
     return rounded(bias.moments(s, "n_points"), var=4)
 
 
+BIAS = ["nn_time_weighted", "forward_score_corrected", "log_odds_score_corrected"]
+
+
+def bias_scores(spark, d) -> DataFrame:
+    """NN time-weighted, corrected PHMM and corrected log-odds on the evaluation part of the detections with several candidates."""
+    split = tuned(spark, d)[2]
+    return evaluated(spark, d).where(F.col("model").isin(BIAS)).join(split.where("part = 1"), RF, "left_semi")
+
+
 def _featured(spark, d):
     points, _, pairs = pairs_of(spark, d, FINE)
     near = bias.nearest_in_track(pairs.select(*PAIR, "rf_t", "rf_lat", "rf_lon"), points).select(*PAIR, "time_diff", "distance_diff")
     stats_ = prep.track_characteristics(points).select(*TRACK, "n_points", "mean_intra_time_diff", "mean_intra_dist_diff")
-    return bias.splits(scored(spark, d, NN)).join(near, PAIR).join(stats_, TRACK, "left").join(bias.stationary_ratio(points), TRACK, "left")
+    return bias.splits(bias_scores(spark, d)).join(near, PAIR).join(stats_, TRACK, "left").join(bias.stationary_ratio(points), TRACK, "left")
 
 
 @query()
@@ -581,7 +724,7 @@ def bias_t_tests(spark, d):
     return bias.t_tests(kept(spark, d, "featured", make=lambda: _featured(spark, d)))
 
 
-_NEAREST = ("nearest", f"SELECT {_PAIR}, rf_t - fix.t AS time_diff, {hav('rf_lat', 'rf_lon', 'fix.lat', 'fix.lon')} AS distance_diff FROM (SELECT {_PAIR}, rf_t, rf_lat, rf_lon, arg_min(struct_pack(t := p.t, lat := p.lat, lon := p.lon), struct_pack(a := abs(p.t - rf_t), b := p.t, c := p.seq)) AS fix FROM cand JOIN tracks p USING (mmsi, track_id) GROUP BY ALL)")
+_NEAREST = ("nearest", f"SELECT {_PAIR}, abs(rf_t - fix.t) AS time_diff, {hav('rf_lat', 'rf_lon', 'fix.lat', 'fix.lon')} AS distance_diff FROM (SELECT {_PAIR}, rf_t, rf_lat, rf_lon, arg_min(struct_pack(t := p.t, lat := p.lat, lon := p.lon), struct_pack(a := abs(p.t - rf_t), b := p.t, c := p.seq)) AS fix FROM cand JOIN tracks p USING (mmsi, track_id) GROUP BY ALL)")
 
 
 @query(pair_sql(f"SELECT {_PAIR}, round(time_diff, 6) AS time_diff, round(distance_diff, 6) AS distance_diff, round(s, 6) AS reference_score, s = max(s) OVER (PARTITION BY {_RF}) AS is_match_ref FROM (SELECT *, round({transition('time_diff', 'distance_diff')}, 9) AS s FROM nearest)", _NEAREST, divisor=FINE))
@@ -591,10 +734,56 @@ def reference_label_transition(spark, d):
     return rounded(x.select(*PAIR, "time_diff", "distance_diff", "reference_score", "is_match_ref"))
 
 
+_BIAS_LONG = [*_EVAL_LONG[:-1], ("long", f"SELECT * FROM (SELECT * FROM plain UNION ALL {_CORRECTED}) WHERE model IN ({', '.join(map(repr, BIAS))}) AND ({_RF}) IN (SELECT ({_RF}) FROM parts WHERE part = 1)")]
+_STATIONARY = ("still", "SELECT mmsi, track_id, avg(coalesce(speed_kph < 5, false)::INT) AS stationary_ratio FROM tracks GROUP BY ALL")
+_FEATURES = ("features", f"SELECT g.*, time_diff, distance_diff, n_points, mean_intra_time_diff, mean_intra_dist_diff, stationary_ratio FROM grouped g JOIN nearest USING ({_PAIR}) LEFT JOIN characters USING (mmsi, track_id) LEFT JOIN still USING (mmsi, track_id)")
+
+
+def _t_sql(experiment: str, feature: str, a: str, b: str, paired: bool) -> str:
+    """Welch's or the paired t of two groups, from the table of features."""
+    per = f"SELECT model, {_RF}, max({feature}) FILTER (\"group\" = '{a}') AS a, max({feature}) FILTER (\"group\" = '{b}') AS b FROM features GROUP BY ALL"
+    head = f"SELECT '{experiment}' AS experiment, model, '{feature}' AS feature"
+    if paired:
+        return f"{head}, n AS n_a, n AS n_b, m / sqrt(v / n) AS t, n - 1e0 AS df FROM (SELECT model, count(a - b) AS n, avg(a - b) AS m, var_samp(a - b) AS v FROM ({per}) GROUP BY model)"
+    return f"{head}, n_a, n_b, (ma - mb) / sqrt(x + y) AS t, pow(x + y, 2) / (x * x / (n_a - 1) + y * y / (n_b - 1)) AS df FROM (SELECT model, count(a) AS n_a, count(b) AS n_b, avg(a) AS ma, avg(b) AS mb, var_samp(a) / count(a) AS x, var_samp(b) / count(b) AS y FROM ({per}) GROUP BY model)"
+
+
+# Written from the list of hypotheses: a chosen wrong track is longer, has shorter gaps in time and space, stands still more often, and has a fix nearer in time and space than the right one.
+_HYPOTHESES = [("1", "n_points", False), ("2a", "mean_intra_time_diff", False), ("2b", "mean_intra_dist_diff", False), ("3", "stationary_ratio", False), ("4a", "time_diff", True), ("4b", "distance_diff", True)]
+
+
+@query(ranking_sql("SELECT experiment, model, feature, n_a, n_b, round(t, 3) AS t, round(df, 3) AS df FROM (" + " UNION ALL ".join(_t_sql(e, f, "incorrect", "shouldbe", paired) for e, f, paired in _HYPOTHESES) + ")", _GROUPS, CHARACTER, _STATIONARY, _NEAREST, _FEATURES, models=MODELS, long=_BIAS_LONG))
+def bias_t_statistics(spark, d):
+    return rounded(bias.t_statistics(kept(spark, d, "featured", make=lambda: _featured(spark, d))), 3)
+
+
+_REFERENCE = ("reference", f"SELECT *, s = max(s) OVER (PARTITION BY {_RF}) AS is_match_ref FROM (SELECT *, round({transition('time_diff', 'distance_diff')}, 9) AS s FROM nearest)")
+_PHMM_PICK = f"SELECT r.*, f.is_match_ref FROM ranked r LEFT JOIN reference f USING ({_PAIR}) WHERE model = 'forward_score_corrected'"
+
+
+def _reference(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Corrected Forward picks of the evaluation part, and reference labels of all pairs."""
+    points, _, pairs = pairs_of(spark, d, FINE)
+    picks = rank.chosen(bias_scores(spark, d).where("model = 'forward_score_corrected'"))
+    return picks, bias.reference_labels(pairs.select(*PAIR, "rf_t", "rf_lat", "rf_lon"), points)
+
+
+@query(ranking_sql(f"SELECT label_original, label_reference, count(*) AS n FROM (SELECT CASE WHEN is_true_match THEN 'correct' ELSE 'incorrect' END AS label_original, CASE WHEN is_match_ref THEN 'correct' WHEN NOT is_match_ref THEN 'incorrect' ELSE '<missing>' END AS label_reference FROM ({_PHMM_PICK}) WHERE rnk = 1) GROUP BY ALL", _NEAREST, _REFERENCE, models=MODELS, long=_BIAS_LONG))
+def reference_label_transitions(spark, d):
+    """How picks by the simulated truth fare by the reference label."""
+    return bias.reference_transitions(*_reference(spark, d))
+
+
+@query(ranking_sql(f"SELECT *, {_METRICS} FROM (SELECT model, {_COUNTS.replace('is_true_match', 'is_match_ref')} FROM ({_PHMM_PICK}) GROUP BY model)", _NEAREST, _REFERENCE, models=MODELS, long=_BIAS_LONG))
+def reference_label_metrics(spark, d):
+    picks, labels = _reference(spark, d)
+    return rank.confusion(picks.drop("is_true_match").join(labels.select(*PAIR, F.col("is_match_ref").alias("is_true_match")), PAIR), ["model"])
+
+
 _DIFFS = ("diffs", f"SELECT model, {_RF}, max(time_diff) FILTER (\"group\" = 'incorrect') - max(time_diff) FILTER (\"group\" = 'shouldbe') AS a, max(distance_diff) FILTER (\"group\" = 'incorrect') - max(distance_diff) FILTER (\"group\" = 'shouldbe') AS b FROM grouped JOIN nearest USING ({_PAIR}) GROUP BY ALL")
 
 
-@query(ranking_sql("SELECT model, quadrant, n, round(100 * n / sum(n) OVER (PARTITION BY model), 6) AS percent FROM (SELECT model, quadrant, count(*) AS n FROM (SELECT model, CASE WHEN a < 0 AND b < 0 THEN 'both' WHEN a < 0 THEN 'only_time_diff' WHEN b < 0 THEN 'only_distance_diff' ELSE 'rest' END AS quadrant FROM diffs WHERE a IS NOT NULL AND b IS NOT NULL) GROUP BY model, quadrant)", _GROUPS, _NEAREST, _DIFFS))
+@query(ranking_sql("SELECT model, quadrant, n, round(100 * n / sum(n) OVER (PARTITION BY model), 6) AS percent FROM (SELECT model, quadrant, count(*) AS n FROM (SELECT model, CASE WHEN a < 0 AND b < 0 THEN 'both' WHEN a < 0 THEN 'only_time_diff' WHEN b < 0 THEN 'only_distance_diff' ELSE 'rest' END AS quadrant FROM diffs WHERE a IS NOT NULL AND b IS NOT NULL) GROUP BY model, quadrant)", _GROUPS, _NEAREST, _DIFFS, models=MODELS, long=_BIAS_LONG))
 def difference_quadrants(spark, d):
     return bias.quadrants(kept(spark, d, "featured", make=lambda: _featured(spark, d)))
 
@@ -640,17 +829,29 @@ def simulated_training_data(spark, d):
     return s.select(*TRACK, "t", "state", F.col("ais.lat").alias("ais_lat"), F.col("ais.lon").alias("ais_lon"), F.col("rf.lat").alias("rf_lat"), F.col("rf.lon").alias("rf_lon"))
 
 
-KAPPAS = {"ka=0.5 kr=2": (0.5, 2.0), "ka=1 kr=1": (1.0, 1.0)}
-_TUNED = [ranking_sql(f"SELECT '{name}' AS kappa, alpha, precision FROM searched ORDER BY precision DESC, alpha LIMIT 1", _SIZES, _GRIDDED, _SEARCH, models=MODELS, kappa=k) for name, k in KAPPAS.items()]
+KAPPAS = [(0.5, 2.0), (1.0, 1.0)]
+_KAPPA_FRAME = [("variants", _VARIANTS), ("long", "SELECT * FROM variants"), ("dark", _DARK[1])]
+
 
+def _kappa_sql(k: tuple[float, float]) -> str:
+    closed = f"SELECT model, any_value(alpha) AS alpha, round(avg((rnk = 1 AND is_true_match)::INT) / avg((rnk = 1)::INT), 4) AS closed_set_precision FROM ranked WHERE ({_RF}) IN (SELECT ({_RF}) FROM parts WHERE part = 1) GROUP BY model"
+    auc = "SELECT model, round(sum(q * (tp - p / 2)) / (max(all_p) * max(all_q)), 6) AS auc_scored_only FROM tally_scored GROUP BY model"
+    return ranking_sql(f"SELECT {k[0]}e0 AS kappa_ais, {k[1]}e0 AS kappa_rf, model AS variant, alpha, closed_set_precision, auc_scored_only FROM ({closed}) JOIN ({auc}) USING (model)", *_FRAME, ("tally_scored", _TALLY), models=MODELS, kappa=k, long=[*TUNED, *_KAPPA_FRAME])
 
-@query(" UNION ALL ".join(f"SELECT * FROM ({x})" for x in _TUNED))
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_kappa_sql(k)})" for k in KAPPAS))
 def kappa_sensitivity(spark, d):
-    """The tuned alpha and its precision for log-odds scores of each kappa."""
-    points, _, pairs = pairs_of(spark, d, FINE)
-    out = None
-    for name, kappa in KAPPAS.items():
-        long = rank.long_scores(pairs.join(score_phmm.scores(pairs, points, kappa).drop("n_points"), PAIR), {"log_odds_score": "max"})
-        best = evaluate.best_alpha(evaluate.alpha_search(long, sizes(spark, d))).select(F.lit(name).alias("kappa"), "alpha", "precision")
-        out = best if out is None else out.unionByName(best)
+    """Four variants for each kappa: alpha tuned on the tuning part, precision on the other part, and the area under the ROC curve of scored dark-vessel detections."""
+    dark, out = openset.dark_by_hash(traffic(spark, d, FINE)[0].select("mmsi")), None
+    for ka, kr in KAPPAS:
+        raw, n, split, best = tuned(spark, d, (ka, kr))
+        all_ = kept(spark, d, "variants", ka, kr, make=lambda raw=raw, n=n, best=best: evaluate.correction_variants(raw, n, best))
+        test = all_.join(split.where("part = 1"), RF, "left_semi")
+        closed = evaluate.model_metrics(test).select("model", F.col("precision").alias("closed_set_precision"))
+        frame = openset.dark_vessel_frame(all_.drop("alpha"), dark).where("rejection_type <> 'automatic_rejection'")
+        auc = openset.areas(frame).select("model", F.round("auc", 6).alias("auc_scored_only"))
+        alpha = all_.groupBy("model").agg(F.first("alpha").alias("alpha"))
+        rows = alpha.join(closed, "model").join(auc, "model")
+        rows = rows.select(F.lit(ka).alias("kappa_ais"), F.lit(kr).alias("kappa_rf"), F.col("model").alias("variant"), "alpha", "closed_set_precision", "auc_scored_only")
+        out = rows if out is None else out.unionByName(rows)
     return out

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wakeline.functions import prob
 from wakeline.operators import prep, preselect
 
 TYPES = [("click", "Cargo"), ("view", "Tanker"), ("purchase", "Fishing"), ("signup", "Passenger"), ("error", "Detection")]
@@ -56,8 +57,7 @@ def transition(dt: str, km: str) -> str:
 
 def match(dt: str, km: str) -> str:
     x, y = f"(({dt}) / 120e0)", f"(({km}) / 2e0)"
-    bumps = [(1.0, 6, -0.2, -0.2), (0.0002, 10, 1.0, 1.0), (0.06, 100, 0.0, 0.0), (0.08, 20, 0.4, 0.4), (0.12, 25, 0.25, 0.25), (0.10, 20, 0.1, 0.1), (-0.6, 15, 1.0, 0.0), (-0.6, 15, 0.0, 1.0)]
-    total = " + ".join(["0.57e0", *(f"({w:e}) * exp(-{k} * (pow({x} - ({a:e}), 2) + pow({y} - ({b:e}), 2)))" for w, k, a, b in bumps)])
+    total = " + ".join([f"{prob.MATCH_BASE:e}", *(f"({w:e}) * exp(-{k} * (pow({x} - ({a:e}), 2) + pow({y} - ({b:e}), 2)))" for w, k, a, b in prob.BUMPS)])
     return f"CASE WHEN ({dt}) > 120 OR ({km}) > 2 THEN 0e0 ELSE least(1e0, greatest(0e0, {total})) END"
 
 
