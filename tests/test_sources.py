@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from wakeline.operators import preselect, simulate
@@ -74,18 +75,33 @@ def test_simulated_sequences(spark):
     assert s.exceptAll(again).count() == 0
 
 
+def test_broken_archives_are_named_and_left_out(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/b.zip").write_bytes(b"no archive")
+    with zipfile.ZipFile(tmp_path / "in/a.zip", "w") as z:
+        z.writestr("a.csv", "MMSI,BaseDateTime,LAT,LON,SOG,Heading,IMO,VesselType\n5,2024-01-01T00:00:00,29.0,-90.0,1.0,90,IMO1,70\n6,2024-01-01T00:00:09,29.0,-90.0,1.0,90,IMO2,31\n")
+    (tmp_path / "types.json").write_text('{"70": "Cargo", "31": "Tug"}')
+    assert [r.path.rpartition("/")[2] for r in ais.broken_zips(spark, str(tmp_path / "in/*.zip")).collect()] == ["b.zip"]
+    out = pipeline.ingest(spark, str(tmp_path / "in/*.zip"), str(tmp_path / "types.json"), str(tmp_path / "reports"))
+    assert [r.mmsi for r in out.collect()] == [5]
+
+
 def test_pipeline_resumes(spark, tmp_path):
-    reports = fixture.reports(spark, D).where("mmsi < 8")
+    with pytest.raises(FileNotFoundError, match="tracks"):
+        pipeline.run(spark, None, str(tmp_path))
+    reports = fixture.reports(spark, D, 512).where("mmsi < 8")
     made = pipeline.run(spark, reports, str(tmp_path), leave_one_out=True, km=3.0, window=1200.0)
-    assert made["metrics"].count() == 6 or made["metrics"].count() >= 0
     assert {r.model for r in made["ranking_metrics"].collect()} <= set(pipeline.MODELS)
+    runtimes = {r.model: r for r in made["runtime"].collect()}
+    assert set(runtimes) == {"phmm", *pipeline.score_nn.SCORERS} and all(r.seconds > 0 and r.pairs == made["candidates"].count() for r in runtimes.values())
+    names = {r.model for r in made["corrected_metrics"].collect()}
+    assert {"forward_score_corrected", "log_odds_score_corrected"} <= names
+    assert {r.model for r in made["correction"].collect()} == {"forward_alpha_1", "forward_tuned", "log_odds_raw", "log_odds_tuned"}
+    pipeline.figures(spark, str(tmp_path), "gaussian")
     stages = pipeline.Stages(spark, f"{tmp_path}/gaussian")
     stages.need(["tracks", "candidates", "open_set", "leave_one_out"])
     again = stages.table("tracks", lambda: 1 / 0)
     assert again.count() == made["tracks"].count()
     stages.clean()
-    try:
+    with pytest.raises(FileNotFoundError, match="tracks, candidates"):
         stages.need(["tracks", "candidates"])
-        raise AssertionError
-    except FileNotFoundError as e:
-        assert "tracks, candidates" in str(e)

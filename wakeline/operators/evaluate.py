@@ -45,14 +45,20 @@ def corrected(scores: DataFrame, sizes: DataFrame, alpha) -> DataFrame:
 def alpha_search(scores: DataFrame, sizes: DataFrame, alphas: list[float] = ALPHAS) -> DataFrame:
     """Precision of each alpha, four decimals, in one pass: (model, alpha, precision).
 
-    The few candidates of a detection are gathered once; every alpha then picks
-    among them in place, so the shuffle does not grow with the grid.
+    Scores are shuffled once, by detection; the grid is laid out behind that, where
+    the grouping by detection and alpha needs no shuffle and keeps three numbers: the
+    best score of the true track (the detection's own), of tracks with a lower key,
+    which win ties, and of tracks with a higher key.
     """
+    n = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sized = scores.join(sizes.select(*TRACK, F.col("n_points").alias("_n")), TRACK, "left")
-    few = sized.groupBy(*rank.KEYS).agg(F.collect_list(F.struct("oriented", "_n", *TRACK, "is_true_match")).alias("c"))
-    pick = lambda a: F.array_max(F.transform("c", lambda x: F.struct(F.round(x["oriented"] / F.pow(x["_n"], a), 9).alias("v"), *((-x[k]).alias(k) for k in TRACK), x["is_true_match"].alias("hit"))))["hit"]
-    hits = few.select("model", F.explode(F.transform(F.array(*map(F.lit, alphas)), lambda a: F.struct(a.alias("alpha"), pick(a).cast("double").alias("hit")))).alias("h"))
-    return hits.groupBy("model", F.col("h.alpha").alias("alpha")).agg(F.round(F.avg("h.hit"), 4).alias("precision"))
+    lower = (F.col("mmsi") < F.col("rf_mmsi")) | ((F.col("mmsi") == F.col("rf_mmsi")) & (F.col("track_id") < F.col("rf_track_id")))
+    place = F.when(F.col("is_true_match"), 0).when(lower, 1).otherwise(2)
+    dealt = sized.select(*rank.KEYS, "oriented", "_n", place.alias("_place")).repartition(n, *rank.KEYS)
+    rows = dealt.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas)))).withColumn("_v", F.round(F.col("oriented") / F.pow(F.col("_n"), F.col("alpha")), 9))
+    best = rows.groupBy(*rank.KEYS, "alpha").agg(*(F.max(F.when(F.col("_place") == k, F.col("_v"))).alias(f"_{k}") for k in range(3)))
+    hit = F.col("_0").isNotNull() & (F.col("_1").isNull() | (F.col("_0") > F.col("_1"))) & (F.col("_2").isNull() | (F.col("_0") >= F.col("_2")))
+    return best.groupBy("model", "alpha").agg(F.round(F.avg(hit.cast("double")), 4).alias("precision"))
 
 
 def best_alpha(searched: DataFrame) -> DataFrame:

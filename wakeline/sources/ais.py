@@ -42,7 +42,11 @@ def download(url: str, path: str) -> bool:
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for content in batch["content"]:
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
+            try:
+                z = zipfile.ZipFile(io.BytesIO(content))
+            except zipfile.BadZipFile:
+                continue
+            with z:
                 for member in z.namelist():
                     if member.lower().endswith(".csv"):
                         with z.open(member) as f:
@@ -54,10 +58,20 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_zips(spark: SparkSession, path: str) -> DataFrame:
-    """Reports of all CSV members of zip files, one archive to a task, read in chunks."""
+    """Reports of all CSV members of zip files, one archive to a task, read in chunks; ``broken_zips`` names the files that are none."""
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_members, REPORT)
 
 
+def _broken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.loc[[not zipfile.is_zipfile(io.BytesIO(c)) for c in batch["content"]], ["path"]]
+
+
+def broken_zips(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of the files that cannot be opened as archives."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_broken, "path string")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Reports of unpacked CSV files, with the declared schema."""
     names = spark.read.option("header", True).csv(path)
