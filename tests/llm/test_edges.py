@@ -121,3 +121,39 @@ def test_chat(spark):
     assert turns[None] == [("", "")] and turns[2] == [("as\nsistant%0A", "x" * 9000), ("assistant", "y")]
     assert "".join(r.learned for r in back if r.conv_id == 1) == rows[2][3] * 2
     assert chat_format.windows(df.limit(0)).count() == 0
+
+
+def test_different_texts_under_one_id_are_judged_apart(spark):
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    b = "red green blue white black brown pink grey gold silver bronze violet"
+    df = docs(spark, [(3, a, "en", "x"), (7, a, "en", "x"), (7, b, "en", "x"), (None, b, "en", "x"), (None, a + " more words at the end of it", "en", "x")])
+    for sent in (1 << 18, 0):
+        rows = near_dedup.keep(near_dedup.fingerprints(df), "t")
+        out = near_dedup.one_of_each(df, near_dedup.keep(rows.join(near_dedup.labelled(rows).select("fp", "label"), "fp").select("doc_id", "h", "label"), "t"), sent)
+        assert sorted((r.doc_id or 0, r.text[:3]) for r in out.collect()) == [(0, "one"), (3, "one"), (7, "red")] and out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text[:3]) for r in near_dedup.keep_one(df).collect()) == [(0, "one"), (3, "one"), (7, "red")]
+
+
+@pytest.mark.parametrize("names", [["m", "copies", "_n"], ["row", "s", "h"], ["_s", "_d", "_h"], ["doc", "n", "k"]])
+def test_names_of_the_caller_do_not_matter(spark, names):
+    rows = [(k, f"text {k % 7} " * (1 + k % 5), "s" + str(k % 2), k, "v", 1.5) for k in range(60)]
+    df = spark.createDataFrame(rows + rows[:9] * 3, "doc_id bigint, text string, source string, " + ", ".join(f"{n} {t}" for n, t in zip(names, ("bigint", "string", "double"), strict=True)))
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and set(map(tuple, out.collect())) <= set(rows)
+    plain = sorted(r.doc_id for r in mixing.mixed(df.select("doc_id", "text", "source")).collect())
+    assert sorted(r.doc_id for r in out.collect()) == plain
+    assert near_dedup.keep_one(df).columns == df.columns and near_dedup.keep_one(df).count() > 0
+
+
+def test_mix_of_one_row_repeated(spark):
+    df = docs(spark, [(None, "a b c", None, "x")]).crossJoin(spark.range(3000)).drop("id").union(docs(spark, [(1, "d e " * 500, None, "y")]))
+    taken = {(r.doc_id, r.size): r.n for r in mixing.taken(df).groupBy("doc_id", "size").agg(F.sum("copies").alias("n")).collect()}
+    got = {(r.doc_id, len(r.text.split())): r["count"] for r in mixing.mixed(df).groupBy("doc_id", "text").count().collect()}
+    assert got == {k: n for k, n in taken.items() if n}
+
+
+def test_rows_without_a_key_are_spread_over_cuts(spark):
+    df = spark.range(500).select(F.lit(None).cast("bigint").alias("doc_id"), F.col("id").alias("size"))
+    out = shards.slotted(shards.assigned(df).select("doc_id", "size", "shard"), cut_rows=20).collect()
+    assert sorted(r.slot for r in out) == list(range(500)) and len({r.shard for r in out}) == 1
+    assert [r["size"] for r in sorted(out, key=lambda r: r.slot)] == [r["size"] for r in sorted(shards.slotted(shards.assigned(df).select("doc_id", "size", "shard")).collect(), key=lambda r: r.slot)]

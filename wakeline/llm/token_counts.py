@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import Sent, batch, by_text, raws, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+SETTING = "spark.wakeline.vocabulary"
 MOST_PIECES, MEMO = 1 << 20, 200_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_unknown", pa.int64())])
 
@@ -145,7 +146,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"))
+    """The vocabulary is the file that the session names in ``SETTING``, or ``VOCABULARY``; only the driver reads it."""
+    return token_counts(table(spark, sf_dir, "documents"), spark.conf.get(SETTING, VOCABULARY))
 
 
 QUERIES = {"op3_token_counts": op3_token_counts}
