@@ -47,14 +47,14 @@ def alpha_search(scores: DataFrame, sizes: DataFrame, alphas: list[float] = ALPH
 
     Scores are shuffled once, by detection; the grid is laid out behind that, where
     the grouping by detection and alpha needs no shuffle and keeps three numbers: the
-    best score of the true track (the detection's own), of tracks with a lower key,
-    which win ties, and of tracks with a higher key.
+    best score of the true track, of tracks with a lower key, which win ties, and
+    of tracks with a higher key. Of several true tracks the lowest key counts for ties.
     """
     n = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sized = scores.join(sizes.select(*TRACK, F.col("n_points").alias("_n")), TRACK, "left")
-    lower = (F.col("mmsi") < F.col("rf_mmsi")) | ((F.col("mmsi") == F.col("rf_mmsi")) & (F.col("track_id") < F.col("rf_track_id")))
-    place = F.when(F.col("is_true_match"), 0).when(lower, 1).otherwise(2)
-    dealt = sized.select(*rank.KEYS, "oriented", "_n", place.alias("_place")).repartition(n, *rank.KEYS)
+    dealt = sized.select(*rank.KEYS, F.struct(*TRACK).alias("_track"), "is_true_match", "oriented", "_n").repartition(n, *rank.KEYS)
+    true = F.min(F.when(F.col("is_true_match"), F.col("_track"))).over(Window.partitionBy(*rank.KEYS))
+    dealt = dealt.withColumn("_true", true).withColumn("_place", F.when(F.col("is_true_match"), 0).when(F.col("_track") < F.col("_true"), 1).otherwise(2)).drop("_track", "_true")
     rows = dealt.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas)))).withColumn("_v", F.round(F.col("oriented") / F.pow(F.col("_n"), F.col("alpha")), 9))
     best = rows.groupBy(*rank.KEYS, "alpha").agg(*(F.max(F.when(F.col("_place") == k, F.col("_v"))).alias(f"_{k}") for k in range(3)))
     hit = F.col("_0").isNotNull() & (F.col("_1").isNull() | (F.col("_0") > F.col("_1"))) & (F.col("_2").isNull() | (F.col("_0") >= F.col("_2")))
