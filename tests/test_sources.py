@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def test_resume_works_on_new_keys_only(spark, tmp_path):
     out = ais.resume(spark.range(8).withColumnRenamed("id", "x"), path, ["x"], work)
     assert seen == [5, 3] and sorted(r.y for r in out.collect()) == list(range(0, 16, 2))
     ais.write_csv(out, str(tmp_path / "csv"))
-    assert ais.read_results(spark, str(tmp_path / "csv"), "x bigint, y bigint").count() == 8
+    assert [r.x for r in ais.read_results(spark, str(tmp_path / "csv"), "x bigint, y bigint").collect()] == list(range(8))
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -97,6 +98,10 @@ def test_pipeline_resumes(spark, tmp_path):
     names = {r.model for r in made["corrected_metrics"].collect()}
     assert {"forward_score_corrected", "log_odds_score_corrected"} <= names
     assert {r.model for r in made["correction"].collect()} == {"forward_alpha_1", "forward_tuned", "log_odds_raw", "log_odds_tuned"}
+    for name, keys in (("tracks", ["mmsi", "track_id", "t", "seq"]), ("candidates", pipeline.PAIR)):
+        rows = pd.concat(pd.read_parquet(f) for f in sorted((tmp_path / "gaussian" / name).glob("part-*")))[keys]
+        listed = [tuple(r) for r in rows.itertuples(index=False)]
+        assert listed == sorted(listed) and len(listed) == made[name].count() > 1
     pipeline.figures(spark, str(tmp_path), "gaussian")
     stages = pipeline.Stages(spark, f"{tmp_path}/gaussian")
     stages.need(["tracks", "candidates", "open_set", "leave_one_out"])

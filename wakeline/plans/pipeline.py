@@ -31,11 +31,13 @@ class Stages:
     def __init__(self, spark: SparkSession, out: str):
         self.spark, self.out = spark, out.rstrip("/")
 
-    def table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    def table(self, name: str, make: Callable[[], DataFrame], order: list[str] | None = None) -> DataFrame:
+        """The table, made if it is not there; with ``order`` its files follow one another in that order and rows are sorted in each."""
         path = f"{self.out}/{name}"
         if not ais.exists(self.spark, f"{path}/_SUCCESS"):
             began = time.monotonic()
-            make().write.mode("overwrite").parquet(path)
+            made = make()
+            (made.orderBy(*order) if order else made).write.mode("overwrite").parquet(path)
             seconds = time.monotonic() - began
             row = [(name, seconds, self.spark.read.parquet(path).count())]
             ais.append(self.spark.createDataFrame(row, "model string, seconds double, pairs bigint").coalesce(1), f"{self.out}/runtimes")
@@ -72,11 +74,11 @@ def run(spark: SparkSession, reports: DataFrame | None, out: str, error_model: s
     s = Stages(spark, f"{out}/{error_model}")
     if reports is None:
         s.need(["tracks"])
-    points = s.table("tracks", lambda: segmented(reports))
+    points = s.table("tracks", lambda: segmented(reports), [*TRACK, "t", "seq"])
     labelled = s.table("labelled", lambda: simulate.training_data(points, error_model))
     rf = labelled.where("rf is not null").select(F.col("mmsi").alias("rf_mmsi"), F.col("track_id").alias("rf_track_id"), F.col("rf_t").alias("t"), F.lit(0).alias("seq"), "rf.lat", "rf.lon")
     rf = s.table("detections", lambda: preselect.number_signals(rf))
-    pairs = s.table("candidates", lambda: preselect.candidates(rf, points, km, window))
+    pairs = s.table("candidates", lambda: preselect.candidates(rf, points, km, window), PAIR)
     suffix = "" if kappa == score_phmm.KAPPA else f"_kappa_{kappa[0]:g}_{kappa[1]:g}"
     wide = pairs
     for name, score in score_nn.SCORERS.items():

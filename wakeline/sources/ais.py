@@ -129,8 +129,8 @@ def resume(df: DataFrame, path: str, keys: list[str], work: Callable[[DataFrame]
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A small result table as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A small result table as one CSV file with a header, rows sorted by all columns."""
+    df.coalesce(1).sortWithinPartitions(*df.columns).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
