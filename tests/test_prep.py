@@ -74,3 +74,29 @@ def test_density_and_sample(spark):
         assert np.allclose([got[k] for k in range(60)], expected)
     some = prep.weighted_sample(df.withColumn("sampling_weight", F.lit(1.0)), 10)
     assert some.count() == 10 and some.select("mmsi").distinct().count() == 10
+
+
+def test_density_curves(spark):
+    rng = np.random.default_rng(1)
+    rows = [("a", float(v), 1.0) for v in rng.normal(size=40)] + [("b", float(v), float(v) ** 2) for v in rng.normal(size=15)] + [("b", None, None)]
+    df = spark.createDataFrame(rows, "part string, x double, y double")
+    got = prep.density_curves(df, "part", ["x", "y"], points=20).toPandas()
+    assert set(zip(got.part, got.feature, strict=True)) == {("a", "x"), ("b", "x"), ("b", "y")}
+    for (part, feature), one in got.groupby(["part", "feature"]):
+        v = np.array([r[1 if feature == "x" else 2] for r in rows if r[0] == part and r[1] is not None])
+        bw = v.std(ddof=1) * len(v) ** -0.2
+        x = np.linspace(v.min() - 3 * bw, v.max() + 3 * bw, 20)
+        expected = np.exp(-(((x[:, None] - v) / bw) ** 2) / 2).mean(1) / (bw * np.sqrt(2 * np.pi))
+        one = one.sort_values("i")
+        assert np.allclose(one.x, x) and np.allclose(one.density, expected)
+    assert prep.density_curves(df.limit(0), "part", ["x"]).count() == 0
+
+
+def test_vessel_speed_box(spark):
+    v = [10.0, 11.0, 12.0, 13.0, 14.0, 60.0]
+    df = spark.createDataFrame([(k, x + e) for k, x in enumerate(v) for e in (-1.0, 1.0)] + [(9, None)], "mmsi bigint, speed_kph double")
+    row = prep.vessel_speed_box(df).first()
+    assert (row.q1, row.med, row.q3) == tuple(np.quantile(v, [0.25, 0.5, 0.75]))
+    assert (row.whisker_low, row.whisker_high, row.n_outliers, row.n_vessels) == (10.0, 14.0, 1, 6) and row["mean"] == pytest.approx(np.mean(v))
+    empty = prep.vessel_speed_box(df.limit(0)).first()
+    assert empty.n_vessels == 0 and empty.q1 is None

@@ -58,6 +58,18 @@ def test_margins_are_inclusive(spark):
     assert sorted(r.rf_t for r in preselect.box_pairs(df, meta).collect()) == [-500.0, 800.0]
 
 
+def test_near_pairs_at_the_borders_of_slots(spark):
+    rng = random.Random(8)
+    pts = [(m, 0, float(rng.choice([80 * k + e for k in range(-3, 4) for e in (-10, -9, 0, 9, 10, 40)])), 29.0 + 0.01 * rng.randint(0, 3), -90.0) for m in range(6) for _ in range(4)]
+    pts.append((0, 0, None, 29.0, -90.0))
+    pairs = [(i, 0, 1, float(80 * rng.randint(-3, 3) + rng.choice([-20, -10, -1, 0, 1, 10, 20])), 29.0, -90.0, rng.randrange(7), 0) for i in range(400)]
+    p = spark.createDataFrame(pts, "mmsi bigint, track_id int, t double, lat double, lon double")
+    x = spark.createDataFrame(pairs, "rf_mmsi bigint, rf_track_id int, rf_signal_id bigint, rf_t double, rf_lat double, rf_lon double, mmsi bigint, track_id int")
+    got = {r.rf_mmsi for r in preselect.near_pairs(x, p, 2.0, 10.0).collect()}
+    close = lambda r, q: q[0] == r[6] and q[2] is not None and abs(q[2] - r[3]) <= 10 and (q[3] - 29) * 111.195 <= 2
+    assert got == {r[0] for r in pairs if any(close(r, q) for q in pts)} and 20 < len(got) < 400
+
+
 def test_nearest_fix_against_brute_force(spark):
     rng = np.random.default_rng(5)
     pts = [(int(k), int(i), float(rng.integers(0, 50)), float(i)) for k in range(3) for i in range(20)]

@@ -1,6 +1,9 @@
 import datetime as dt
+import http.server
 import json
+import threading
 import zipfile
+from functools import partial
 
 import pandas as pd
 import pytest
@@ -36,6 +39,25 @@ def test_zips_lookup_and_days(spark, tmp_path):
     assert ais.day_files(start, end, "http://x/")[0] == "http://x/AIS_2024_01_01.zip"
 
 
+def test_download_skips_what_is_not_there(tmp_path):
+    (tmp_path / "a.zip").write_bytes(b"x" * (ais.CHUNK + 7))
+
+    class Quiet(http.server.SimpleHTTPRequestHandler):
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), partial(Quiet, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert ais.download(f"{base}/a.zip", str(tmp_path / "out")) and (tmp_path / "out").read_bytes() == (tmp_path / "a.zip").read_bytes()
+        assert not ais.download(f"{base}/none.zip", str(tmp_path / "none")) and not (tmp_path / "none").exists()
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert not ais.download(f"{base}/a.zip", str(tmp_path / "late"))
+
+
 def test_resume_works_on_new_keys_only(spark, tmp_path):
     seen = []
 

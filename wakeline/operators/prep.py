@@ -157,6 +157,35 @@ def kde_log_density(rows: DataFrame, keys: list[str], features: list[str] = FEAT
     return sums.groupBy(*keys).agg((F.log(F.sum("mass")) - shift).alias("log_density"))
 
 
+def density_curves(rows: DataFrame, by: str, features: list[str] = FEATURES, points: int = 200, cut: float = 3.0) -> DataFrame:
+    """(by, feature, i, x, density): one-dimensional Gaussian kernel densities on a grid of ``points`` places.
+
+    The bandwidth is the sample deviation times n^(-1/5); the grid reaches
+    ``cut`` bandwidths beyond the extremes. A feature without two different
+    values has no curve. Each row adds to each place on the map side, so what
+    is shuffled does not grow with the rows.
+    """
+    held = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features)))
+    long = rows.select(by, held.alias("_x")).select(by, "_x.*").where("v is not null")
+    width = F.stddev_samp("v") * F.pow(F.count("*").cast("double"), F.lit(-0.2))
+    stats = long.groupBy(by, "feature").agg(width.alias("bw"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("bw > 0")
+    place = F.col("lo") - cut * F.col("bw") + F.col("i") * (F.col("hi") - F.col("lo") + 2 * cut * F.col("bw")) / (points - 1)
+    laid = long.join(stats, [by, "feature"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", place)
+    kernel = F.exp(-F.pow((F.col("x") - F.col("v")) / F.col("bw"), F.lit(2.0)) / 2) / (F.col("bw") * math.sqrt(2 * math.pi))
+    return laid.groupBy(by, "feature", "i").agg(F.first("x").alias("x"), F.avg(kernel).alias("density"))
+
+
+def vessel_speed_box(reports: DataFrame) -> DataFrame:
+    """One row of box-plot figures over the vessels' mean speeds; whiskers end at the last vessel within 1.5 interquartile ranges."""
+    v = F.col("v")
+    speeds = reports.groupBy("mmsi").agg(F.avg("speed_kph").alias("v")).where("v is not null")
+    q1, med, q3 = exact_quantiles(speeds, "v", [0.25, 0.5, 0.75])
+    inner = F.lit(False) if q1 is None else v.between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+    quartiles = [F.lit(x).cast("double").alias(c) for c, x in (("q1", q1), ("med", med), ("q3", q3))]
+    ends = [g(F.when(inner, v)).alias(f"whisker_{c}") for c, g in (("low", F.min), ("high", F.max))]
+    return speeds.agg(F.count("*").alias("n_vessels"), F.avg("v").alias("mean"), *ends, F.count_if(~inner).alias("n_outliers")).select(*quartiles, "*")
+
+
 def sampling_weight(log_density: Column, power: float = 0.25) -> Column:
     return F.exp(-log_density * power)
 

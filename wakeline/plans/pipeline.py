@@ -43,9 +43,13 @@ class Stages:
             ais.append(self.spark.createDataFrame(row, "model string, seconds double, pairs bigint").coalesce(1), f"{self.out}/runtimes")
         return self.spark.read.parquet(path)
 
+    def missing(self, names: list[str]) -> list[str]:
+        """Those of the tables that are not there, in the order given."""
+        return [n for n in names if not ais.exists(self.spark, f"{self.out}/{n}/_SUCCESS")]
+
     def need(self, names: list[str]) -> None:
         """Fails with the missing tables in the order in which they are made."""
-        missing = [n for n in names if not ais.exists(self.spark, f"{self.out}/{n}/_SUCCESS")]
+        missing = self.missing(names)
         if missing:
             raise FileNotFoundError(f"missing stages, in order: {', '.join(missing)}")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wakeline.schema import REPORT
 
-CHUNK, TIMEOUT = 1 << 20, 60
+CHUNK, TIMEOUT, ARCHIVE_ROWS = 1 << 20, 60, 200_000
 # Column names of the public daily files, in the order of the schema.
 RAW_NAMES = ["MMSI", "IMO", "BaseDateTime", "LAT", "LON", "SOG", "Heading", "VesselType"]
 
@@ -59,7 +59,27 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_zips(spark: SparkSession, path: str) -> DataFrame:
     """Reports of all CSV members of zip files, one archive to a task, read in chunks; ``broken_zips`` names the files that are none."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_members, REPORT)
+    return unzipped(spark.read.format("binaryFile").load(path))
+
+
+def unzipped(archives: DataFrame) -> DataFrame:
+    """Reports of archives held in the binary column ``content``."""
+    return archives.select("content").mapInPandas(_members, REPORT)
+
+
+def _archive(part: pd.DataFrame) -> pd.DataFrame:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("reports.csv", part[RAW_NAMES].to_csv(index=False))
+    return pd.DataFrame({"content": [out.getvalue()]})
+
+
+def zipped(files: DataFrame, day: str = "BaseDateTime", most: int = ARCHIVE_ROWS) -> DataFrame:
+    """Rows with the columns of the daily files as archives (content), one or more a day with about ``most`` rows each."""
+    days = files.withColumn("_day", F.substring(day, 1, 10))
+    largest = days.groupBy("_day").count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-largest // most))
+    return days.withColumn("_part", F.pmod(F.xxhash64(*RAW_NAMES), F.lit(parts))).groupBy("_day", "_part").applyInPandas(_archive, "content binary")
 
 
 def _broken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
