@@ -33,7 +33,7 @@ def steps(points: DataFrame) -> DataFrame:
 def laid_out(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """One row for each pair and point of its track with all one-step probabilities."""
     km = geo.haversine(F.col("lat"), F.col("lon"), F.col("rf_lat"), F.col("rf_lon"))
-    x = pairs.select(*PAIR, "rf_t", "rf_lat", "rf_lon").join(steps(points), TRACK).withColumn("km", km)
+    x = pairs.select(*PAIR, "rf_t", "rf_lat", "rf_lon").hint("merge").join(steps(points), TRACK).withColumn("km", km)
     since = F.col("t") - F.col("rf_t")
     return x.withColumns({"p_rf": prob.transition(-since, F.col("km")), "p_back": prob.transition(since, F.col("km")), "p_match": prob.match(F.abs(since), F.col("km"))})
 
