@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 
 from wakeline.functions import prob
-from wakeline.operators import score_phmm
+from wakeline.operators import preselect, score_nn, score_phmm
+from wakeline.plans import fixture
 
-R = 6371.0088
+D, R = "/root/testdata/sf0.001", 6371.0088
 
 
 def hav(a, b):
@@ -124,3 +125,14 @@ def test_viterbi_is_the_best_path(cases):
         path = r.path
         assert path[0] == "begin" and path[-1] == "end" and path.count(r.state) == 1 and path.count("AIS") == len(tracks[r.mmsi]) - (r.state == "M")
         assert path[1 + r.place - (r.state == "M")] == r.state
+
+
+def test_rows_laid_out_are_not_shuffled(spark, tmp_path):
+    points = fixture.tracks(spark, D)
+    points.write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    preselect.candidates(fixture.detections(spark, D, points), points, 3.0, 1200.0).write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    for made in (score_phmm.scores(pairs, points), score_nn.SCORERS["nn_haversine"](pairs, points)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 2 and "BroadcastExchange" not in plan

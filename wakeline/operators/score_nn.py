@@ -1,8 +1,9 @@
 """Nearest-neighbour scores of candidate pairs; smaller is better.
 
 ``SCORERS`` is the extension point: a scorer takes (pairs, points) and returns
-the pair key with a score. One join on the track serves a whole scorer, and
-the aggregate keeps that partitioning.
+the pair key with a score. One merge join on the track serves a whole scorer, and the
+aggregate keeps that partitioning; a broadcast of the pairs would leave all
+work to the few tasks that read the points.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from wakeline.schema import PAIR, TRACK
 
 
 def _min_over(pairs: DataFrame, points: DataFrame, score: Column) -> DataFrame:
-    return pairs.join(points, TRACK).groupBy(*PAIR).agg(F.min(score).alias("score"))
+    return pairs.hint("merge").join(points, TRACK).groupBy(*PAIR).agg(F.min(score).alias("score"))
 
 
 def by_point(distance: Callable[..., Column]) -> Callable[[DataFrame, DataFrame], DataFrame]:

@@ -3,7 +3,8 @@
 A detection is one observation, so the Forward table has two columns, before
 and after it is consumed. Both are running sums of log transitions along the
 track, and the total is one log-sum-exp over the points where the detection
-can be consumed. All windows share one partitioning and order.
+can be consumed. All windows share one order, and the partitioning of the merge
+join on the track, so the rows laid out by pair are not shuffled.
 """
 
 from __future__ import annotations
