@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.operators import prep
+from wakeline.operators import prep, view
 
 REPORT = "mmsi bigint, seq bigint, t double, lat double, lon double"
 
@@ -100,3 +100,11 @@ def test_vessel_speed_box(spark):
     assert (row.whisker_low, row.whisker_high, row.n_outliers, row.n_vessels) == (10.0, 14.0, 1, 6) and row["mean"] == pytest.approx(np.mean(v))
     empty = prep.vessel_speed_box(df.limit(0)).first()
     assert empty.n_vessels == 0 and empty.q1 is None
+
+
+def test_map_markers_of_some_vessels(spark):
+    points = spark.createDataFrame([(1, 0, 0.0, 29.0, -90.0, 90.0), (1, 0, 1.0, None, -90.0, 90.0), (2, 0, 0.0, 29.0, -90.0, None)], "mmsi bigint, track_id int, t double, lat double, lon double, heading double")
+    rf = spark.createDataFrame([(1, 0, 5.0, 29.1, -90.0), (3, 0, 5.0, 29.1, -90.0)], "rf_mmsi bigint, rf_track_id int, t double, lat double, lon double")
+    got = {(r.layer, r.mmsi, r.rotation) for r in view.map_markers(points, rf, [1, 2]).collect()}
+    assert got == {("AIS", 1, 405.0), ("AIS", 2, None), ("RF", 1, None)}
+    assert view.map_markers(points, rf).count() == 4 and view.map_markers(points, rf, []).count() == 0
