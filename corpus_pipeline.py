@@ -22,7 +22,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles have a similarity of 0.8 or more."""
+    """One document of each group of texts whose five-word shingles have a similarity of 0.8 or more.
+
+    Links come from SimHash and are checked; an exact search finds those that its blocks miss.
+    """
     return near_copies.keep_one(docs)
 
 

@@ -92,3 +92,48 @@ def test_parity_bits_never_differ_more_than_sets():
             continue
         differ = sum(bin(x & (1 << 64) - 1).count("1") for x in (near_copies.parity(a) ^ near_copies.parity(b)).tolist())
         assert differ <= len(np.setxor1d(a, b))
+
+
+def test_fingerprints_that_differ_in_few_bits_share_a_place():
+    rng = np.random.default_rng(13)
+    masks = near_copies.masks()
+    assert len(masks) == 10 and {bin(m & (1 << 64) - 1).count("1") for m in masks} <= {24, 25, 26}
+    for _ in range(300):
+        flips = sum(1 << int(b) for b in rng.choice(64, near_copies.BLOCKS - near_copies.SAME, replace=False))
+        assert any(flips & m == 0 for m in masks)
+
+
+def test_simhash_is_the_majority_of_codes(monkeypatch):
+    rng = np.random.default_rng(14)
+    for n in (0, 1, 2, 7, 300):
+        codes = rng.integers(-(2**63), 2**63 - 1, n)
+        bits = [sum(int(c) >> k & 1 for c in codes) for k in range(64)]
+        want = sum(1 << k for k, x in enumerate(bits) if 2 * x > n)
+        assert near_copies.simhash(codes) & (1 << 64) - 1 == want
+        monkeypatch.setattr(near_copies, "CHUNK", 3)
+
+
+@pytest.mark.parametrize("full", [0, 64])
+def test_nearest_fingerprint_by_brute_force(spark, full):
+    rng = np.random.default_rng(15)
+    fps = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 20)]
+    fps += [x ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 4), replace=False)) for x in fps for _ in range(5)]
+    texts = spark.createDataFrame(list(enumerate(fps)), "t bigint, fp bigint")
+    got = {r.b: r.a for r in near_copies.nearest(texts, full=full).collect()}
+    apart = lambda a, b: bin((fps[a] ^ fps[b]) & (1 << 64) - 1).count("1")
+    assert all(a < b and apart(a, b) <= near_copies.NEAR for b, a in got.items())
+    close = [b for b in range(20, len(fps)) if any(apart(a, b) <= 3 for a in range(b))]
+    assert len(close) == 100 and set(close) <= set(got)
+    if full:
+        assert all(apart(got[b], b) == min(apart(a, b) for a in range(b)) for b in close)
+
+
+def test_stage_links_by_fingerprints(spark, monkeypatch):
+    """Texts whose fingerprints are near are joined by the pairs of the fingerprints; nothing is left to compare after them."""
+    base = [f"word{k}" for k in range(400)]
+    texts = {k: " ".join(base[:200] + [f"other{k}"] * (k > 0) + base[200:]) for k in range(6)} | {9: "a text of its own that nothing else is like at all"}
+    compared, plain = [], near_copies.similar
+    monkeypatch.setattr(near_copies, "similar", lambda pairs, *more: compared.append(pairs.count()) or plain(pairs, *more))
+    docs = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup(spark, docs, "").collect()) == [0, 9]
+    assert compared == [5]

@@ -1,10 +1,20 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash, and by exact Jaccard similarity for what it leaves.
 
 Two texts link if the sets of their ``WORDS``-word shingles have a Jaccard
-similarity of ``LEAST`` or more; a group is a component of links. The links
-are found by prefix filtering: under any one order of all shingles, two such
-sets share a shingle among the first ``n - ceil(LEAST * n) + 1`` of each, so
-texts that meet on no such shingle need no comparison, and no link is lost.
+similarity of ``LEAST`` or more; a group is a component of links.
+
+A text's fingerprint is the bitwise majority of its shingles' codes. ``BLOCKS``
+blocks of it, ``SAME`` at a time, are its places: fingerprints that differ in
+``BLOCKS - SAME`` or fewer bits share one, and many that differ in more do. Where
+up to ``FULL`` texts meet all are paired, elsewhere each with the place's centre.
+Of the texts met within ``NEAR`` bits, each is compared with the nearest one.
+
+Similar texts differ in up to 17 of 64 bits (half of them in 8 or more), which no
+affordable blocks cover, so a fingerprint alone would lose links. All pairs that
+are in different groups after that go through prefix filtering, which finds every
+link: under any one order of all shingles, two similar sets share a shingle among
+the first ``n - ceil(LEAST * n) + 1`` of each, so texts that meet on no such
+shingle need no comparison.
 
 The order puts shingles last that many texts hold, then goes by hash. What many
 texts hold is known from a bounded sample of texts first, and then from the
@@ -15,7 +25,7 @@ the same links; it bears on the number of meetings only.
 A pair is compared only if the places where it meets leave room for enough
 shared shingles: the first one that both hold has at most so many behind it.
 
-Each meeting place has a centre, the member with the fewest shingles before it,
+Each shingle where texts meet has a centre, the member with the fewest shingles before it,
 which in a large group is one with few words of its own, or one of lowest hash.
 In each of ``STARS`` rounds a text is compared with one centre, so a round has no
 more pairs than texts. Then all pairs that are in different groups still are
@@ -32,6 +42,7 @@ shingles are compared by a 64-bit code.
 
 from __future__ import annotations
 
+from itertools import combinations
 from math import ceil
 
 import numpy as np
@@ -45,6 +56,7 @@ from .near_dedup import components, one_of_each
 
 WORDS, LEAST, SAMPLE, MOST_COMMON, HOT, STARS, MEMO = 5, 0.8, 4096, 1 << 20, 32, 2, 150_000
 BITS, LONG, LONG_BITS = 1024, 1000, 8192
+BLOCKS, SAME, NEAR, FULL, CHUNK = 5, 2, 18, 64, 1 << 16
 _MIX, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -92,6 +104,14 @@ def parity(codes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(codes & (size - 1), minlength=size).astype(np.uint8) & 1).view(np.int64)
 
 
+def simhash(codes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint: a bit is 1 if it is set in over half of the codes."""
+    set_ = np.zeros(64, np.int64)
+    for at in range(0, len(codes), CHUNK):
+        set_ += np.unpackbits(codes[at : at + CHUNK].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * set_ > len(codes)).tobytes(), "big", signed=True)
+
+
 def _key(words: list[bytes]) -> int:
     h = xxhash.xxh64_intdigest(b" ".join(words), 2)
     return h - (1 << 64) if h >> 63 else h
@@ -117,7 +137,7 @@ def _prefixes(sent, size: int, least: float):
     def run(batches):
         memo, (common, often) = Numbers(), sent.value
         for b in batches:
-            keys, sizes, firsts, bits = [], [], [], []
+            keys, sizes, firsts, bits, prints = [], [], [], [], []
             for x in raws(b.column("text")):
                 words = words_of(x)
                 codes = shingles(memo, words, size)
@@ -125,9 +145,10 @@ def _prefixes(sent, size: int, least: float):
                 sizes.append(len(codes))
                 firsts.append(prefix(codes, common, often, least).copy())
                 bits.append(parity(codes))
+                prints.append(simhash(codes))
             longs = pa.list_(pa.int64())
-            made = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, longs), pa.array(bits, longs)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *made], names=["doc_id", "h", "t", "n", "codes", "bits"])
+            made = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, longs), pa.array(bits, longs), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *made], names=["doc_id", "h", "t", "n", "codes", "bits", "fp"])
 
     return run
 
@@ -164,12 +185,12 @@ def merged(a: Counts, b: Counts) -> Counts:
 
 
 def prefixed(rows: DataFrame, size: int = WORDS, least: float = LEAST, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, t) of every row, and (t, h, n, codes, bits) of every text with its prefix in order. Reads the texts once or twice."""
+    """(doc_id, h, t) of every row, and (t, h, n, codes, bits, fp) of every text with its prefix in order. Reads the texts once or twice."""
     spark, known = rows.sparkSession, sampled_counts(rows, size)
     for last in (False, True):
         sent = Sent(spark, known)
-        made = keep(by_text(rows, _prefixes(sent, size, least), "doc_id bigint, h bigint, t bigint, n bigint, codes array<bigint>, bits array<bigint>"), "prefixes")
-        texts = keep(made.groupBy("t").agg(F.min_by(F.struct("h", "n", "codes", "bits"), "h").alias("x")).select("t", "x.*"), "texts")
+        made = keep(by_text(rows, _prefixes(sent, size, least), "doc_id bigint, h bigint, t bigint, n bigint, codes array<bigint>, bits array<bigint>, fp bigint"), "prefixes")
+        texts = keep(made.groupBy("t").agg(F.min_by(F.struct("h", "n", "codes", "bits", "fp"), "h").alias("x")).select("t", "x.*"), "texts")
         if last:
             break
         found = _collected(texts.select(F.explode("codes").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > hot))
@@ -182,6 +203,28 @@ def prefixed(rows: DataFrame, size: int = WORDS, least: float = LEAST, hot: int
     return made.select("doc_id", "h", "t"), texts
 
 
+def masks(blocks: int = BLOCKS, same: int = SAME) -> list[int]:
+    """Signed longs with the bits of ``same`` of the fingerprint's blocks, in all ways."""
+    ends = [64 * k // blocks for k in range(blocks + 1)]
+    bits = [(1 << hi) - (1 << lo) for lo, hi in zip(ends, ends[1:])]
+    signed = (sum(some) for some in combinations(bits, same))
+    return [x - (1 << 64) if x >> 63 else x for x in signed]
+
+
+def nearest(texts: DataFrame, near: int = NEAR, full: int = FULL) -> DataFrame:
+    """(a, b), a < b: for each text b the text before it with the nearest fingerprint of those that share a place. texts: (t, fp)."""
+    places = F.array(*(F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for c, m in enumerate(masks())))
+    rows = texts.select("t", "fp", F.inline(places))
+    sizes = rows.groupBy("c", "key").agg(F.count("*").alias("m"), F.min(F.struct("t", "fp")).alias("centre")).where("m > 1")
+    met = keep_narrow(rows.join(sizes, ["c", "key"]), "met")
+    few = met.where(F.col("m") <= full).select("c", "key", "t", "fp")
+    pairs = few.join(few.withColumnsRenamed({"t": "t2", "fp": "fp2"}), ["c", "key"]).select("t", "fp", "t2", "fp2")
+    pairs = pairs.union(met.where(F.col("m") > full).select("t", "fp", F.col("centre.t"), F.col("centre.fp")))
+    differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
+    best = pairs.where((F.col("t2") < F.col("t")) & (differ <= near)).groupBy("t").agg(F.min(F.struct(differ.alias("d"), "t2")).alias("x"))
+    return best.select(F.col("x.t2").alias("a"), F.col("t").alias("b"))
+
+
 def possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The ``pairs`` (a, b) whose parity bits allow the similarity asked for. texts: (t, n, bits)."""
     x, y = (texts.select(F.col("t").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
@@ -201,16 +244,18 @@ def similar(pairs: DataFrame, texts: DataFrame, rows: DataFrame, size: int, leas
 
 
 def labelled(texts: DataFrame, rows: DataFrame, size: int = WORDS, least: float = LEAST, stars: int = STARS) -> DataFrame:
-    """(t, label) of every text (t, h, n, codes, bits) that is similar to another: the smallest t of its group."""
+    """(t, label) of every text (t, h, n, codes, bits, fp) that is similar to another: the smallest t of its group."""
     held = texts.select("t", "n", F.posexplode("codes").alias("i", "s"))
     met = keep(held.join(held.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "s"), "met")
-    edges, labels = None, met.select("t", F.col("t").alias("label")).limit(0)
+    pairs = keep_narrow(possible(nearest(texts), texts, least), "pairs")
+    edges = similar(pairs, texts, rows, size, least)
+    labels = components(edges).select(F.col("node").alias("t"), "label")
     room = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))
     near = (F.col("g") != F.col("g2")) & (F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9) & (room >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-6)
     carried = ["t", "n", "i", "g"]
     for k in range(stars + 1):
         now = met.join(labels, "t", "left").withColumn("g", F.coalesce("label", "t")).drop("label")
-        if k:
+        if k or not edges.isEmpty():
             now = keep(now.join(now.groupBy("s").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 < g2").select("s"), "s"), "open")
         if k < stars:
             drawn = F.shiftrightunsigned(F.xxhash64("t", F.lit(k)), 24)
@@ -222,8 +267,7 @@ def labelled(texts: DataFrame, rows: DataFrame, size: int = WORDS, least: float
             pairs = now.join(other, "s").where(near & (F.col("t") < F.col("t2"))).select(F.col("t").alias("a"), F.col("t2").alias("b")).distinct()
         pairs = keep_narrow(possible(pairs, texts, least), "pairs")
         if not pairs.isEmpty():
-            found = similar(pairs, texts, rows, size, least)
-            edges = found if edges is None else edges.union(found)
+            edges = edges.union(similar(pairs, texts, rows, size, least))
             labels = components(edges).select(F.col("node").alias("t"), "label")
     return labels
 
